@@ -1 +1,13 @@
+"""Registered queries and their oracle SQL."""
 
+from memspark.catalog import tables_and_filters, text_and_stats
+
+_MODULES = [tables_and_filters, text_and_stats]
+
+
+def all_queries() -> dict:
+    return {k: f for m in _MODULES for k, f in m.Q.items()}
+
+
+def all_sql() -> dict:
+    return {k: s for m in _MODULES for k, s in m.SQL.items()}

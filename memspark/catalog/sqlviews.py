@@ -103,7 +103,7 @@ _CTES = {
 
 def with_views(*names: str, extra: str = "") -> str:
     """A WITH clause that defines the named views (``obs`` becomes ``obs_v`` and so on), then ``extra`` CTEs."""
-    parts = [f"{_CTES[n][0]} AS ({_CTES[n][1]})" for n in names]
+    parts = [f"{_CTES[n][0]} AS MATERIALIZED ({_CTES[n][1]})" for n in names]
     if extra:
         parts.append(extra)
     return "WITH " + ",\n".join(parts) + "\n"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -20,3 +21,8 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut lineage into reliable storage, so that later rounds survive the loss of executors."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Mark for broadcast only after counting, and only up to ``max_rows`` rows; otherwise leave the join to Spark."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
