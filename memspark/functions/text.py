@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,13 +31,26 @@ def empty_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def count_present(text: Column, phrases) -> Column:
     """How many of the phrases occur in the text."""
-    hits = [F.when(F.contains(text, F.lit(p)), 1).otherwise(0) for p in phrases]
-    total = hits[0]
-    for h in hits[1:]:
-        total = total + h
-    return total
+    def count(t: Column) -> Column:
+        total = F.lit(0)
+        for p in phrases:
+            total = total + F.contains(t, F.lit(p)).cast("int")
+        return total
+
+    return let(text, count)
+
+
+def contains_any(text: Column, phrases, ignore_case: bool = False) -> Column:
+    """Whether any of the phrases occurs, in one pass over the text; ``ignore_case`` folds ASCII letters only."""
+    pattern = "|".join(re.escape(p) for p in phrases)
+    return text.rlike(f"(?i){pattern}" if ignore_case else pattern)
 
 
 def truncate_text(text: Column, n: int) -> Column:
@@ -109,8 +124,8 @@ def match_score(sig1: Column, sig2: Column) -> Column:
 def pattern_type(concepts: Column, title: Column, narrative: Column) -> Column:
     """First telling concept in array order, else bug when a bug keyword occurs, else refactor."""
     telling = F.filter(concepts, lambda c: c.isin("anti-pattern", "best-practice", "architecture", "refactor"))
-    content = ascii_lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(narrative, F.lit(""))))
-    is_bug = count_present(content, vocab.BUG_KEYWORDS) > 0
+    content = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(narrative, F.lit("")))
+    is_bug = contains_any(content, vocab.BUG_KEYWORDS, ignore_case=True)
     return (F.when(F.size(telling) > 0, F.get(telling, 0))
             .when(is_bug, F.lit("bug")).otherwise(F.lit("refactor")))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memspark import vocab
-from memspark.functions.text import count_present, str_array, strip
+from memspark.functions.text import contains_any, count_present, let, str_array, strip
 from memspark.operators.ordering import importance, limit_offset, order_columns
 
 
@@ -214,22 +214,22 @@ def tool_event_filter(events: DataFrame, at_capture: bool = False) -> DataFrame:
     tool, out, inp = F.col("tool_name"), F.coalesce("tool_response", F.lit("")), F.coalesce("tool_input", F.lit(""))
     low_in = F.lower(inp)
     boring = (
-        F.when(tool == "Read", count_present(inp, vocab.BORING_FILES) > 0)
+        F.when(tool == "Read", contains_any(inp, vocab.BORING_FILES))
         .when(tool == "Grep", F.regexp_count(out, F.lit("\n")) > 50)
-        .when(tool == "Bash", count_present(low_in, vocab.BORING_COMMANDS) > 0)
+        .when(tool == "Bash", contains_any(low_in, vocab.BORING_COMMANDS))
         .otherwise(F.lit(False))
     )
     keep = (~tool.isin(vocab.SKIP_TOOLS) & (F.octet_length(out) >= 50)
-            & (count_present(F.lower(out), vocab.TRIVIAL_OUTPUTS) == 0) & ~boring)
+            & ~contains_any(out, vocab.TRIVIAL_OUTPUTS, ignore_case=True) & ~boring)
     if at_capture:
         keep = keep & ~tool.isin(vocab.CAPTURE_SKIP_TOOLS)
     return events.filter(keep)
 
 
 def is_summary_worthy(message: Column) -> Column:
-    low = F.lower(message)
-    return ((F.octet_length(strip(message)) >= 200) & (count_present(low, vocab.SUMMARY_SKIP_PHRASES) < 2)
-            & (count_present(low, vocab.WORK_INDICATORS) >= 2))
+    telling = let(F.lower(message), lambda low: (count_present(low, vocab.SUMMARY_SKIP_PHRASES) < 2)
+                  & (count_present(low, vocab.WORK_INDICATORS) >= 2))
+    return (F.octet_length(strip(message)) >= 200) & telling
 
 
 def summary_worthy(messages: DataFrame, text: str = "text") -> DataFrame:

@@ -17,8 +17,16 @@ TOOL_INPUTS = ["src/main.go", "git status", "package-lock.json", "go test ./..."
 CURRENT_MODEL = "m1"
 
 
+# key by which a table that sits in fewer files than there are cores is spread out
+_SPREAD = {"events": "event_id", "documents": "doc_id", "conversations": "conv_id", "embeddings": "vec_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in _SPREAD and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, _SPREAD[name])
+    return df
 
 
 def _pick(values, index):
