@@ -176,11 +176,11 @@ def is_private(spark, d):
     return v.private_text(spark, d).select("doc_id", privacy.is_private(F.col("text")).alias("private"))
 
 
-_RESP = f"""WITH r AS (SELECT doc_id AS response_id, 'intro <observation><type>' || {pick(['bugfix', 'decision', 'other', 'feature', ''], 'doc_id % 5')} ||
+_RESP = f"""WITH rsp AS (SELECT doc_id AS response_id, 'intro <observation><type>' || {pick(['bugfix', 'decision', 'other', 'feature', ''], 'doc_id % 5')} ||
   '</type><title> ' || source || ' </title><narrative>' || replace(text, '<', ' ') || '</narrative><facts><fact>one</fact><fact> two </fact></facts><concepts><concept> ' ||
   {pick(vocab.CONCEPT_TYPES, 'doc_id % 25')} || ' </concept><concept>nonsense</concept><concept>Security</concept></concepts><files_read><file>a.go</file></files_read></observation> and <observation><title>'
   || lang || '</title></observation>' AS text FROM documents),
- b AS (SELECT response_id, unnest(regexp_extract_all(text, '(?s)<observation>(.*?)</observation>', 1)) AS block, generate_subscripts(regexp_extract_all(text, '(?s)<observation>(.*?)</observation>', 1), 1) - 1 AS block_no FROM r),
+ b AS (SELECT response_id, unnest(regexp_extract_all(text, '(?s)<observation>(.*?)</observation>', 1)) AS block, generate_subscripts(regexp_extract_all(text, '(?s)<observation>(.*?)</observation>', 1), 1) - 1 AS block_no FROM rsp),
  t AS (SELECT *, trim(regexp_extract(block, '<type>([^<]*)</type>', 1)) AS t0 FROM b),
  u AS (SELECT *, CASE WHEN t0 IN ({','.join("'" + x + "'" for x in vocab.OBSERVATION_TYPES)}) THEN t0 ELSE 'change' END AS type FROM t) """
 

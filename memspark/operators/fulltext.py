@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memspark.functions.text import keywords
 from memspark.operators.ordering import top_per_group
-from memspark.session import broadcast_if_small
+from memspark.session import broadcast_if_small, durable
 
 K1, B = 1.2, 0.75
 MIN_IDF = 1e-6
@@ -77,21 +77,20 @@ def search_like(obs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFram
     """(query_id, id, rank): observations with any keyword as a substring of title, subtitle or narrative.
 
     A keyword can only occur where its first four characters do, so texts and keywords meet in an equality join on
-    four-character grams and are then compared in full; no row meets every keyword.
+    four-character grams. Each text then checks only the keywords that can occur in it, in full.
     """
     terms = query_keywords(queries).withColumn("gram", F.substring("term", 1, GRAM))
-    grams = broadcast_if_small(terms.select("gram").distinct(), SMALL_KEYWORDS)
     words = broadcast_if_small(terms.select("gram", "term").distinct(), SMALL_KEYWORDS)
-    docs = obs.select("id", "project", "scope", "importance_score", "created_at_epoch", search_text(OBSERVATION_FIELDS).alias("body"))
-    starts = F.sequence(F.lit(1), F.length("body") - GRAM + 1)
-    by_gram = docs.filter(F.length("body") >= GRAM).select(
-        "id", "project", "scope", "importance_score", "created_at_epoch", "body",
-        F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("body"), i, GRAM)))).alias("gram"))
-    hits = by_gram.join(grams, "gram", "left_semi").join(words, "gram").filter(F.contains("body", F.col("term")))
-    hits = hits.select("id", "project", "scope", "importance_score", "created_at_epoch", "term").distinct()
+    body = search_text(OBSERVATION_FIELDS)
+    overlapping = F.regexp_extract_all(body, F.lit("(?=([a-z0-9_]{%d}))" % GRAM), F.lit(1))
+    grams = obs.select("id", F.explode(F.array_distinct(overlapping)).alias("gram"))
+    possible = grams.join(words, "gram").groupBy("id").agg(F.collect_set("term").alias("terms"))
+    docs = obs.select("id", "project", "scope", "importance_score", "created_at_epoch", body.alias("body"))
+    found_in = docs.join(possible, "id").withColumn(
+        "term", F.explode(F.filter("terms", lambda t: F.contains(F.col("body"), t)))).drop("body", "terms")
     t = broadcast_if_small(terms.select("query_id", F.col("project").alias("q_project"), "term"), SMALL_KEYWORDS)
-    own = hits.join(t, (hits["term"] == t["term"]) & (hits["project"] == t["q_project"]))
-    shared = hits.filter(F.col("scope") == "global").join(t, "term").filter(F.col("project") != F.col("q_project"))
+    own = found_in.join(t, (found_in["term"] == t["term"]) & (found_in["project"] == t["q_project"]))
+    shared = found_in.filter(F.col("scope") == "global").join(t, "term").filter(F.col("project") != F.col("q_project"))
     cols = ["query_id", "id", "importance_score", "created_at_epoch"]
     found = own.select(*cols).unionByName(shared.select(*cols)).distinct()
     order = [F.coalesce("importance_score", F.lit(1.0)).desc(), F.col("created_at_epoch").desc(), F.col("id").desc()]
@@ -99,7 +98,7 @@ def search_like(obs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFram
 
 
 def search_text_with_fallback(obs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """``search_fts``, and ``search_like`` for the queries it finds nothing for."""
-    fts = search_fts(obs, queries, limit).select("query_id", "id", "rank")
+    """``search_fts``, and ``search_like`` for the queries it finds nothing for, if there are any."""
+    fts = durable(search_fts(obs, queries, limit).select("query_id", "id", "rank"))
     rest = queries.join(fts.select("query_id").distinct(), "query_id", "left_anti")
-    return fts.unionByName(search_like(obs, rest, limit))
+    return fts if rest.isEmpty() else fts.unionByName(search_like(obs, rest, limit))

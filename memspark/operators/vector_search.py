@@ -101,8 +101,9 @@ def _block_top_k(k: int):
         cols = ["query_id", "doc_id", "row_id", "similarity"]
         if q.empty or v.empty:
             return pd.DataFrame({c: [] for c in cols})
-        # similarity = 1 - distance/2 with distance = 1 - cosine; rounding keeps ties stable across block layouts
-        sim = np.round(0.5 + _unit(q["embedding"]) @ _unit(v["embedding"]).T / 2.0, 9)
+        # similarity = 1 - distance/2 with distance = 1 - cosine
+        raw = 0.5 + _unit(q["embedding"]) @ _unit(v["embedding"]).T / 2.0
+        sim = np.round(raw, 9)  # for comparisons only: ties stay ties in every block layout
         vid, vrow, vproj = v["doc_id"].to_numpy(), v["row_id"].to_numpy(), v["skip_project"].to_numpy()
         out = []
         for i, (qid, qproj) in enumerate(zip(q["query_id"], q["project"])):
@@ -112,7 +113,7 @@ def _block_top_k(k: int):
                 cut = np.partition(s[ok], len(ok) - k)[len(ok) - k]
                 ok = ok[s[ok] >= cut]
             ok = ok[np.lexsort((vid[ok], -s[ok]))][:k]
-            out.append(pd.DataFrame({"query_id": qid, "doc_id": vid[ok], "row_id": vrow[ok], "similarity": s[ok]}))
+            out.append(pd.DataFrame({"query_id": qid, "doc_id": vid[ok], "row_id": vrow[ok], "similarity": raw[i][ok]}))
         return pd.concat(out)[cols]
 
     return run
@@ -155,7 +156,7 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int, doc_type: str | Non
     else:
         hits = _blocked(q.withColumn("grp", nobody).withColumn("project", F.lit("*")),
                         v.withColumn("grp", nobody).withColumn("skip_project", nobody), k)
-    order = W.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("doc_id"))
+    order = W.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), F.col("doc_id"))
     return hits.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= k)
 
 

@@ -66,9 +66,11 @@ def two_stage_search(obs: DataFrame, vectors: DataFrame, queries: DataFrame, mti
     by_vector = top_per_group(best, "query_id", order, limit, "first_rank").select("query_id", "id", "first_rank", "similarity")
     by_vector = durable(by_vector)
     missed = queries.join(by_vector.select("query_id").distinct(), "query_id", "left_anti")
-    by_text = fulltext.search_text_with_fallback(obs, missed, limit).select(
-        "query_id", "id", F.col("rank").alias("first_rank"), F.lit(None).cast("double").alias("similarity"))
-    cand = by_vector.withColumn("via", F.lit("vector")).unionByName(by_text.withColumn("via", F.lit("text")))
+    cand = by_vector.withColumn("via", F.lit("vector"))
+    if not missed.isEmpty():
+        by_text = fulltext.search_text_with_fallback(obs, missed, limit).select(
+            "query_id", "id", F.col("rank").alias("first_rank"), F.lit(None).cast("double").alias("similarity"))
+        cand = cand.unionByName(by_text.withColumn("via", F.lit("text")))
     fields = ["title", "subtitle", "narrative", "facts", "files_read", "files_modified", "file_mtimes"]
     cand = cand.join(obs.select("id", *fields), "id")
     if mtimes is not None:

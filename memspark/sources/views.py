@@ -10,7 +10,7 @@ from memspark.functions.text import str_array
 
 NOW_MS = 1706745600000
 BASE_MS = 1704067200000
-PHRASES = [" caused ", " fixes ", " replaces ", " depends on ", " related to ", " evolved from ", " plain ", " plain ",
+PHRASES = [" caused ", " fixes ", " replaces ", " depends on ", " related to ", " evolved from ", " removed ", " plain ",
            " plain ", " was wrong ", " added ", " removed "]
 TOOLS = ["Edit", "Write", "Bash", "Read", "Grep", "TodoWrite", "WebFetch", "Glob", "Edit", "Bash", "Read", "Grep"]
 TOOL_INPUTS = ["src/main.go", "git status", "package-lock.json", "go test ./...", "needle"]
