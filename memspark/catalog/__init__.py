@@ -1,8 +1,8 @@
 """Registered queries and their oracle SQL."""
 
-from memspark.catalog import pairs_and_patterns, similarity_and_search, tables_and_filters, text_and_stats
+from memspark.catalog import pairs_and_patterns, similarity_and_search, streams, tables_and_filters, text_and_stats
 
-_MODULES = [tables_and_filters, text_and_stats, pairs_and_patterns, similarity_and_search]
+_MODULES = [tables_and_filters, text_and_stats, pairs_and_patterns, similarity_and_search, streams]
 
 
 def all_queries() -> dict:
