@@ -98,9 +98,9 @@ def key_terms(query: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard of two arrays without duplicates: two empty sets give 1, one empty set gives 0."""
-    inter = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - inter
-    return F.when(union == 0, F.lit(1.0)).otherwise(inter / union)
+    total = F.size(a) + F.size(b)
+    share = let(F.size(F.array_intersect(a, b)), lambda inter: inter / (total - inter))
+    return F.when(total == 0, F.lit(1.0)).otherwise(share)
 
 
 def signature(concepts: Column, title: Column) -> Column:

@@ -6,20 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memspark import vocab
+from memspark.functions.text import let
 from memspark.operators.pairs import candidate_pairs
 from memspark.operators.relations import n, o, same_scope
 
 
 def correction_text(text: Column) -> Column:
     """The first correction phrase found, in pattern order; NULL when there is none."""
-    found = [F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in vocab.CORRECTION_PATTERNS]
-    return F.coalesce(*found)
+    def search(low: Column) -> Column:
+        # a plain substring test spares most texts the pattern search
+        found = []
+        for pattern, words in zip(vocab.CORRECTION_PATTERNS, vocab.CORRECTION_WORDS):
+            possible = F.lit(False)
+            for w in words:
+                possible = possible | F.contains(low, F.lit(w))
+            found.append(F.when(possible, F.nullif(F.regexp_extract(text, pattern, 0), F.lit(""))))
+        return F.coalesce(*found)
+
+    return let(F.lower(text), search)
 
 
 def _verbs(which: int) -> Column:
+    """Numbers of the verb pairs whose first (or second) word occurs in title or narrative."""
     text = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("narrative", F.lit(""))))
-    return F.array_compact(F.array(*[
-        F.when(F.contains(text, F.lit(pair[which])), F.lit(i)) for i, pair in enumerate(vocab.OPPOSING_VERBS)]))
+    return let(text, lambda t: F.array_compact(F.array(*[
+        F.when(F.contains(t, F.lit(pair[which])), F.lit(i)) for i, pair in enumerate(vocab.OPPOSING_VERBS)])))
 
 
 def with_text_facts(obs: DataFrame) -> DataFrame:
@@ -36,7 +47,7 @@ OLDER_FIELDS = ["id", "project", "scope", "concepts", "files_modified", "created
 
 
 def conflict_pairs(new: DataFrame, existing: DataFrame, max_candidates: int = vocab.MAX_CANDIDATES) -> DataFrame:
-    return candidate_pairs(with_text_facts(new), with_text_facts(existing), NEWER_FIELDS, OLDER_FIELDS, max_candidates)
+    return candidate_pairs(with_text_facts(new), existing, NEWER_FIELDS, OLDER_FIELDS, max_candidates, derive=with_text_facts)
 
 
 def _result(ctype: str, reason: Column) -> Column:

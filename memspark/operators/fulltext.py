@@ -30,19 +30,21 @@ def query_keywords(queries: DataFrame) -> DataFrame:
 def bm25_scores(docs: DataFrame, fields, terms: DataFrame, scoped: bool = True) -> DataFrame:
     """(query_id, id, score) of documents that contain any of a query's terms.
 
-    Each document is tokenized once; only tokens that some query asks for leave the row, already counted per document
-    on the map side. With ``scoped``, a query meets documents of its project through a (term, project) join and global
-    documents of other projects through a second join.
+    Texts are tokenized in one pass. Only tokens that some query asks for leave a document, counted on the map side,
+    plus one '' row per document that carries its length for the collection statistics. These postings are stored once
+    and serve the statistics and both joins. With ``scoped``, a query meets documents of its project through a
+    (term, project) join and global documents of other projects through a second join.
     """
     toks = F.regexp_extract_all(search_text(fields), F.lit("[a-z0-9_]+"), F.lit(0))
     scope_cols = ["project", "scope"] if scoped else []
-    t = docs.select("id", *scope_cols, toks.alias("toks")).withColumn("len", F.size("toks"))
-    corpus = t.agg(F.struct(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg_len")).alias("c")).scalar()
-    wanted = broadcast_if_small(terms.select("term").distinct(), SMALL_KEYWORDS)
-    tf = (t.select("id", *scope_cols, "len", F.explode("toks").alias("term")).join(wanted, "term", "left_semi")
-          .groupBy("id", *scope_cols, "len", "term").agg(F.count("*").alias("tf")))
-    df = tf.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    c = df.withColumn("c", corpus)
+    t = docs.select("id", *scope_cols, toks.alias("toks"), F.size(toks).alias("len"))
+    wanted = terms.select("term").distinct().unionByName(terms.sparkSession.createDataFrame([("",)], "term string"))
+    t = t.select("id", *scope_cols, "len", F.explode(F.array_append("toks", F.lit(""))).alias("term"))
+    tf = durable(t.join(broadcast_if_small(wanted, SMALL_KEYWORDS), "term", "left_semi")
+                 .groupBy("id", *scope_cols, "len", "term").agg(F.count("*").alias("tf")))
+    corpus = tf.filter(F.col("term") == "").agg(F.struct(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg_len")).alias("c")).scalar()
+    tf = tf.filter(F.col("term") != "")
+    c = tf.groupBy("term").agg(F.count("*").cast("double").alias("df")).withColumn("c", corpus)
     idf = F.log((F.col("c.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = c.select("term", F.when(idf > 0, idf).otherwise(F.lit(MIN_IDF)).alias("idf"), F.col("c.avg_len").alias("avg_len"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from memspark.session import durable
+from memspark.session import broadcast_if_small, durable
+
+SMALL_IDS = 500_000  # ranked ids, about 20 MB
 
 
 def importance() -> Column:
@@ -42,13 +44,15 @@ def visible_top(obs: DataFrame, n: int, mode: str = "importance", projects: Data
     """The n best rows visible to each project: its own project-scoped rows and all global ones.
 
     Only ids and sort keys are ranked. Global rows are first cut to the best n overall, so a project receives at most
-    2n candidates whatever the sizes; the wide rows are then fetched by id. ``viewer`` is the project that sees a row.
+    2n candidates whatever the sizes. The ranked ids are stored, and the wide rows are then fetched by id: without a
+    shuffle of the wide side while the ids are few, by an ordinary join otherwise. ``viewer`` is the project that sees
+    a row.
     """
     keys = obs.select("id", "project", F.coalesce("scope", F.lit("project")).alias("scope"), "importance_score",
                       "created_at_epoch")
     cand = visible_candidates(keys, n, mode, projects)
-    ranked = top_per_group(cand, "viewer", order_columns(mode), n, rank).select("viewer", "id", rank)
-    return obs.join(ranked, "id")
+    ranked = durable(top_per_group(cand, "viewer", order_columns(mode), n, rank).select("viewer", "id", rank))
+    return obs.join(broadcast_if_small(ranked, SMALL_IDS), "id")
 
 
 def visible_candidates(rows: DataFrame, n: int, mode: str, projects: DataFrame | None = None) -> DataFrame:

@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspark import vocab
-from memspark.operators.ordering import order_columns, top_per_group, visible_candidates
+from memspark.operators.ordering import visible_top
+from memspark.session import broadcast_if_small, durable
+
+SMALL_PROJECTS = 4_000  # rows of at most 50 slim structs each, about 40 MB
 
 
-def best_visible(existing: DataFrame, fields: list[str], n: int = vocab.MAX_CANDIDATES) -> DataFrame:
+def best_visible(existing: DataFrame, fields: list[str], n: int = vocab.MAX_CANDIDATES,
+                 derive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(viewer, best): each project's n best visible rows as one array of structs with o_* fields, best first.
 
-    ``fields`` should leave wide text out: at most n slim structs per project make one row, small enough for Spark to
-    broadcast at run time while projects are few, and a one-row-per-key join side otherwise.
+    The rows are picked by their narrow sort keys; only then are their fields fetched and ``derive``d. ``fields`` should
+    leave wide text out: at most n slim structs per project make one row.
     """
-    need = list(dict.fromkeys([*fields, "id", "project", "scope", "importance_score", "created_at_epoch"]))
-    rows = existing.select(*need).withColumn("scope", F.coalesce("scope", F.lit("project")))
-    ranked = top_per_group(visible_candidates(rows, n, "importance"), "viewer", order_columns(), n)
+    rows = visible_top(existing, n, rank="_rank")
+    rows = derive(rows) if derive else rows
     entry = F.struct("_rank", F.struct(*[F.col(c).alias(f"o_{c}") for c in fields]).alias("o"))
-    return ranked.groupBy("viewer").agg(F.array_sort(F.collect_list(entry)).alias("e")).select(
+    return rows.groupBy("viewer").agg(F.array_sort(F.collect_list(entry)).alias("e")).select(
         "viewer", F.transform("e", lambda x: x["o"]).alias("best"))
 
 
 def candidate_pairs(new: DataFrame, existing: DataFrame, new_fields: list[str], old_fields: list[str],
-                    max_candidates: int = vocab.MAX_CANDIDATES, older_only: bool = True) -> DataFrame:
+                    max_candidates: int = vocab.MAX_CANDIDATES, older_only: bool = True,
+                    derive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(n_*, o_*) pairs of a new row and an existing one among its project's best visible rows, never itself.
 
     The bound belongs to the semantics: a new row is compared with the 50 most important rows visible to its project.
@@ -32,8 +38,9 @@ def candidate_pairs(new: DataFrame, existing: DataFrame, new_fields: list[str],
     side has one row per project. ``older_only`` keeps pairs whose existing side was created earlier, so that one batch
     over a whole table can stand for row-by-row arrival.
     """
-    best = best_visible(existing, list(dict.fromkeys([*old_fields, "id", "created_at_epoch"])), max_candidates)
+    best = best_visible(existing, list(dict.fromkeys([*old_fields, "id", "created_at_epoch"])), max_candidates, derive)
     newer = new.select(*[F.col(c).alias(f"n_{c}") for c in dict.fromkeys([*new_fields, "id", "created_at_epoch", "project"])])
+    best = broadcast_if_small(durable(best), SMALL_PROJECTS)
     fan = newer.join(best, newer["n_project"] == best["viewer"]).withColumn("_o", F.explode("best"))
     pairs = fan.select(*newer.columns, "_o.*").filter(F.col("n_id") != F.col("o_id"))
     if older_only:

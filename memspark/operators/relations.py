@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memspark import vocab
-from memspark.functions.text import str_array
+from memspark.functions.text import let, str_array
 from memspark.operators.ordering import order_columns, top_per_group
 from memspark.operators.pairs import candidate_pairs
 
@@ -79,14 +79,16 @@ def rel_temporal() -> Column:
 
 def narrative_relation(narrative: Column) -> Column:
     """The first phrase of the list found in the narrative; depends on the newer row only."""
-    text = F.lower(narrative)
-    out = F.lit(None)
-    for phrase, rtype, boost in reversed(vocab.NARRATIVE_PHRASES):
-        reason = f"narrative contains '{phrase.strip()}' language"
-        out = F.when(F.contains(text, F.lit(phrase)),
-                     _result(F.lit(rtype), F.lit(min(1.0, 0.4 + boost)), "narrative_mention", F.lit(reason))
-                     ).otherwise(out)
-    return out
+    def first_phrase(text: Column) -> Column:
+        out = F.lit(None)
+        for phrase, rtype, boost in reversed(vocab.NARRATIVE_PHRASES):
+            reason = f"narrative contains '{phrase.strip()}' language"
+            out = F.when(F.contains(text, F.lit(phrase)),
+                         _result(F.lit(rtype), F.lit(min(1.0, 0.4 + boost)), "narrative_mention", F.lit(reason))
+                         ).otherwise(out)
+        return out
+
+    return let(F.lower(narrative), first_phrase)
 
 
 def rel_narrative() -> Column:

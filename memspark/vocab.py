@@ -86,6 +86,12 @@ CORRECTION_PATTERNS = [
     r"(?i)\bshould\s+have\s+(been|used)\b.*instead\b",
     r"(?i)\bbetter\s+(approach|way|method|solution)\s+is\b",
 ]
+# words one of which every match of the pattern at the same place contains, lower case
+CORRECTION_WORDS = [
+    ["actually"], ["actually"], ["previously"], ["correction:"], ["ignore"], ["disregard"],
+    ["wrong", "incorrect", "mistaken"], ["turns"], ["supersedes", "replaces", "overrides"], ["anymore"], ["longer"],
+    ["deprecated"], ["instead"], ["better"],
+]
 OPPOSING_VERBS = [
     ("add", "remove"), ("added", "removed"), ("create", "delete"), ("created", "deleted"), ("enable", "disable"),
     ("enabled", "disabled"), ("include", "exclude"), ("allow", "deny"), ("permit", "block"),
