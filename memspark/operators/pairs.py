@@ -15,13 +15,13 @@ SMALL_PROJECTS = 4_000  # rows of at most 50 slim structs each, about 40 MB
 
 
 def best_visible(existing: DataFrame, fields: list[str], n: int = vocab.MAX_CANDIDATES,
-                 derive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                 derive: Callable[[DataFrame], DataFrame] | None = None, projects: DataFrame | None = None) -> DataFrame:
     """(viewer, best): each project's n best visible rows as one array of structs with o_* fields, best first.
 
     The rows are picked by their narrow sort keys; only then are their fields fetched and ``derive``d. ``fields`` should
     leave wide text out: at most n slim structs per project make one row.
     """
-    rows = visible_top(existing, n, rank="_rank")
+    rows = visible_top(existing, n, projects=projects, rank="_rank")
     rows = derive(rows) if derive else rows
     entry = F.struct("_rank", F.struct(*[F.col(c).alias(f"o_{c}") for c in fields]).alias("o"))
     return rows.groupBy("viewer").agg(F.array_sort(F.collect_list(entry)).alias("e")).select(
@@ -38,7 +38,8 @@ def candidate_pairs(new: DataFrame, existing: DataFrame, new_fields: list[str],
     side has one row per project. ``older_only`` keeps pairs whose existing side was created earlier, so that one batch
     over a whole table can stand for row-by-row arrival.
     """
-    best = best_visible(existing, list(dict.fromkeys([*old_fields, "id", "created_at_epoch"])), max_candidates, derive)
+    best = best_visible(existing, list(dict.fromkeys([*old_fields, "id", "created_at_epoch"])), max_candidates, derive,
+                        new.select("project").distinct())
     newer = new.select(*[F.col(c).alias(f"n_{c}") for c in dict.fromkeys([*new_fields, "id", "created_at_epoch", "project"])])
     best = broadcast_if_small(durable(best), SMALL_PROJECTS)
     fan = newer.join(best, newer["n_project"] == best["viewer"]).withColumn("_o", F.explode("best"))
