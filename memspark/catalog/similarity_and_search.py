@@ -10,6 +10,7 @@ from memspark.catalog.text_and_stats import DECL_SQL, INTENT_SQL, KEY_TERMS_SQL,
 from memspark.functions import markup, text as tx
 from memspark.operators import feed, filters as fl, fulltext as ft, models, ordering as od, similarity as sm, stats as st, vector_search as vs
 from memspark.plans import retrieval as rt
+from memspark.session import durable
 from memspark.sources import tables as tb, views as v
 
 Q, SQL = {}, {}
@@ -380,7 +381,8 @@ def context_documents(spark, d):
 
 
 def _obs_vectors(spark, d):
-    return vs.rebuild_vectors(vs.observation_docs(v.obs(spark, d)), None, full=True)
+    """The vector table of all observations, built and stored as a load would do it."""
+    return durable(vs.rebuild_vectors(vs.observation_docs(v.obs(spark, d)), None, full=True))
 
 
 def _search(spark, d, **kw):
@@ -410,7 +412,7 @@ def _three_tables(spark, d):
 
 def _mixed_vectors(spark, d):
     o, s, p = _three_tables(spark, d)
-    return vs.rebuild_vectors(vs.vector_docs(o, s, p), None, full=True), o, s, p
+    return durable(vs.rebuild_vectors(vs.vector_docs(o, s, p), None, full=True)), o, s, p
 
 
 _UNI = (_DOCS + f", de AS MATERIALIZED {emb_sql('(SELECT * FROM docs WHERE doc_type <> ' + chr(39) + 'pattern' + chr(39) + ')', 'doc_id', 'content')}")

@@ -12,6 +12,7 @@ from memspark import vocab
 from memspark.functions.text import key_terms, query_variants
 from memspark.functions.vectors import sigmoid
 from memspark.operators.models import Embedder, embed_docs, get_embedder
+from memspark.session import durable
 
 VECTOR_BLOCK = 20_000
 QUERY_BLOCK = 512
@@ -140,6 +141,8 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int, doc_type: str | Non
              rank: str = "rank") -> DataFrame:
     """Exact k nearest vectors per query (query_id, project, embedding): (query_id, doc_id, row_id, similarity, rank).
 
+    ``vectors`` should be a stored table: it is counted and read by both branches.
+
     With ``by_project`` a query sees vectors of its project and global ones, and the filter comes before the top k.
     Queries and vectors meet in bounded blocks that are matrix-multiplied in a task; only k rows per query and block
     are shuffled afterwards.
@@ -164,7 +167,8 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int, doc_type: str
                   embedder: Embedder | None = None, by_project: bool = True) -> DataFrame:
     """``knn_join`` for query texts (query_id, project, query)."""
     model = embedder or get_embedder()
-    emb = embed_docs(queries.select("query_id", "project", "query"), text="query", embedder=model)
+    # stored, because the model would otherwise run again for every branch that reads the query vectors
+    emb = durable(embed_docs(queries.select("query_id", "project", "query"), text="query", embedder=model))
     return knn_join(emb, vectors, k, doc_type, by_project)
 
 
