@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -107,7 +107,7 @@ def _block_top_k(k: int):
         sim = np.round(raw, 9)  # for comparisons only: ties stay ties in every block layout
         vid, vrow, vproj = v["doc_id"].to_numpy(), v["row_id"].to_numpy(), v["skip_project"].to_numpy()
         out = []
-        for i, (qid, qproj) in enumerate(zip(q["query_id"], q["project"])):
+        for i, (qid, qproj) in enumerate(zip(q["query_id"], q["q_project"])):
             s = sim[i]
             ok = np.flatnonzero(vproj != qproj)
             if len(ok) > k:
@@ -120,20 +120,30 @@ def _block_top_k(k: int):
     return run
 
 
-def _blocked(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Top k within each (grp, vector block, query block): sizes come from counts, so a hot group only has more blocks."""
-    nv = vectors.groupBy("grp").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("nv"))
-    nq = queries.groupBy("grp").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("nq"))
-    sizes = nv.join(nq, "grp")
+def _block_count(rows: int) -> Column:
+    return F.greatest(F.ceil(F.count("*") / rows), F.lit(1)).cast("int")
+
+
+def _blocked(queries: DataFrame, vectors: DataFrame, k: int, group: str | None) -> DataFrame:
+    """Top k within each (group, vector block, query block): sizes come from counts, so a hot group only has more blocks."""
+    if group:
+        sizes = vectors.groupBy(group).agg(_block_count(VECTOR_BLOCK).alias("nv")).join(
+            queries.groupBy(group).agg(_block_count(QUERY_BLOCK).alias("nq")), group)
+        queries, vectors = queries.join(sizes, group), vectors.join(sizes, group)
+    else:
+        counts = {"nv": vectors.agg(_block_count(VECTOR_BLOCK)).scalar(), "nq": queries.agg(_block_count(QUERY_BLOCK)).scalar()}
+        queries, vectors = queries.withColumns(counts), vectors.withColumns(counts)
+    keys = [group, "vb", "qb"] if group else ["vb", "qb"]
 
     def spread(df, key, own, other, own_n, other_n):
-        return df.join(sizes, "grp").withColumn(own, F.pmod(F.xxhash64(key), F.col(own_n)).cast("int")).withColumn(
+        return df.withColumn(own, F.pmod(F.xxhash64(key), F.col(own_n)).cast("int")).withColumn(
             other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
 
-    v = spread(vectors, "doc_id", "vb", "qb", "nv", "nq").select("grp", "vb", "qb", "doc_id", "row_id", "skip_project", "embedding")
-    q = spread(queries, "query_id", "qb", "vb", "nq", "nv").select("grp", "vb", "qb", "query_id", "project", "embedding")
+    v = spread(vectors, "doc_id", "vb", "qb", "nv", "nq").select(*keys, "doc_id", "row_id", "skip_project", "embedding")
+    q = spread(queries, "query_id", "qb", "vb", "nq", "nv").select(
+        *keys, "query_id", F.col("project").alias("q_project"), "embedding")
     key_type = queries.schema["query_id"].dataType.simpleString()
-    return q.groupBy("grp", "vb", "qb").cogroup(v.groupBy("grp", "vb", "qb")).applyInPandas(
+    return q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(
         _block_top_k(k), f"query_id {key_type}, doc_id string, row_id long, similarity double")
 
 
@@ -142,7 +152,6 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int, doc_type: str | Non
     """Exact k nearest vectors per query (query_id, project, embedding): (query_id, doc_id, row_id, similarity, rank).
 
     ``vectors`` should be a stored table: it is counted and read by both branches.
-
     With ``by_project`` a query sees vectors of its project and global ones, and the filter comes before the top k.
     Queries and vectors meet in bounded blocks that are matrix-multiplied in a task; only k rows per query and block
     are shuffled afterwards.
@@ -150,15 +159,13 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int, doc_type: str | Non
     v = vectors if doc_type is None else vectors.filter(F.col("doc_type") == doc_type)
     v = v.select("doc_id", "row_id", "project", "scope", "embedding")
     q = queries.select("query_id", "project", "embedding")
-    nobody = F.lit("")
+    nothing = F.lit(None).cast("string")
     if by_project:
-        own = _blocked(q.withColumn("grp", F.col("project")), v.withColumn("grp", F.col("project")).withColumn("skip_project", nobody), k)
-        shared = _blocked(q.withColumn("grp", nobody), v.filter(F.col("scope") == "global").withColumn("grp", nobody)
-                          .withColumn("skip_project", F.col("project")), k)
+        own = _blocked(q, v.withColumn("skip_project", nothing), k, "project")
+        shared = _blocked(q, v.filter(F.col("scope") == "global").withColumn("skip_project", F.col("project")), k, None)
         hits = own.unionByName(shared)
     else:
-        hits = _blocked(q.withColumn("grp", nobody).withColumn("project", F.lit("*")),
-                        v.withColumn("grp", nobody).withColumn("skip_project", nobody), k)
+        hits = _blocked(q, v.withColumn("skip_project", nothing), k, None)
     order = W.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), F.col("doc_id"))
     return hits.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= k)
 

@@ -177,7 +177,11 @@ def hybrid_list(rows: DataFrame, queries: DataFrame, vectors: DataFrame, doc_typ
     order = order_columns("importance" if "importance_score" in keys.columns else "date_desc")
     recent = top_per_group(keys, "project", order, limit, "rank").select("project", "id", "rank")
     fallback = rest.filter(F.col("project") != "").join(recent, "project").select("query_id", "id", "rank")
-    newest = top_per_group(keys.orderBy(*order).limit(limit).withColumn("_one", F.lit(1)), "_one", order, limit, "rank")
-    every = rest.filter(F.col("project") == "").withColumn("_one", F.lit(1)).join(newest, "_one").select("query_id", "id", "rank")
+    # at most ``limit`` ids in one array, best first, for the queries that name no project
+    sort_key = F.struct((-F.coalesce("importance_score", F.lit(1.0))).alias("i") if "importance_score" in keys.columns else F.lit(0).alias("i"),
+                        (-F.col("created_at_epoch")).alias("t"), (-F.col("id")).alias("n"))
+    newest = keys.orderBy(*order).limit(limit).agg(F.array_sort(F.collect_list(sort_key)).alias("a")).scalar()
+    every = rest.filter(F.col("project") == "").select("query_id", F.posexplode(newest).alias("pos", "x")).select(
+        "query_id", (-F.col("x.n")).alias("id"), (F.col("pos") + 1).alias("rank"))
     return (semantic.withColumn("via", F.lit("vector")).unionByName(fallback.withColumn("via", F.lit("recent")))
             .unionByName(every.withColumn("via", F.lit("recent"))))
