@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from memspark import vocab
 from memspark.catalog.pairs_and_patterns import MTIMES_SQL, mtimes
 from memspark.catalog.sqlviews import pick, sql_list, with_views
-from memspark.catalog.tables_and_filters import _TOPK
+from memspark.catalog.tables_and_filters import _CTX, _TOPK
 from memspark.catalog.text_and_stats import DECL_SQL, INTENT_SQL, KEY_TERMS_SQL, TERMS_SQL, _RESP, sql_tokens
 from memspark.functions import markup, text as tx
 from memspark.operators import feed, filters as fl, fulltext as ft, models, ordering as od, similarity as sm, stats as st, vector_search as vs
@@ -374,10 +374,14 @@ def context_inject(spark, d):
     return rt.context_inject(v.obs(spark, d), mtimes(spark, d))
 
 
-@query("context_documents")
+@query("context_documents", _INJ + f""", e AS (SELECT k2.viewer, k2.rank, CASE WHEN k2.rank <= 25 THEN {_CTX} ELSE '- [' || upper(type) || '] ' || title || ': ' || subtitle || chr(10) END AS x
+   FROM k2 JOIN obs_v o ON o.id = k2.id)
+ SELECT viewer, count(*) AS observations, md5('<memory-context>' || chr(10) || '# Project Memory (' || count(*) || ' observations)' || chr(10) ||
+   'Use this knowledge to answer questions without re-exploring the codebase.' || chr(10) || chr(10) || string_agg(x, '' ORDER BY rank) || '</memory-context>' || chr(10)) AS digest FROM e GROUP BY viewer""")
 def context_documents(spark, d):
     o = v.obs(spark, d)
-    return rt.context_documents(o, rt.context_inject(o, mtimes(spark, d)))
+    docs = rt.context_documents(o, rt.context_inject(o, mtimes(spark, d)))
+    return docs.select("viewer", "observations", F.md5("document").alias("digest"))
 
 
 def _obs_vectors(spark, d):
