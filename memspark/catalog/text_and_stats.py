@@ -412,12 +412,14 @@ def importance_score(spark, d):
     return sc.importance_score(v.obs(spark, d), NOW).select("id", F.round("score", 6).alias("score"))
 
 
-_COMP = ["type_weight", "age_days", "recency_decay", "core_score", "feedback_part", "concept_part", "retrieval_part"]
+# the age is compared in whole milliseconds: as days its sixth decimal is often an exact tie, which engines round differently
+_COMP = ["type_weight", "recency_decay", "core_score", "feedback_part", "concept_part", "retrieval_part"]
 
 
-@query("score_components", with_views("obs") + f"SELECT id, {', '.join(f'round({c}, 6) AS {c}' for c in _COMP)}, round({FINAL}, 6) AS final_score FROM {parts_sql(NOW)}")
+@query("score_components", with_views("obs") + f"SELECT id, {', '.join(f'round({c}, 6) AS {c}' for c in _COMP)}, CAST(round(age_days * 86400000e0) AS BIGINT) AS age_ms, round({FINAL}, 6) AS final_score FROM {parts_sql(NOW)}")
 def score_components(spark, d):
-    return sc.score_components(v.obs(spark, d), NOW).select("id", *[F.round(c, 6).alias(c) for c in [*_COMP, "final_score"]])
+    return sc.score_components(v.obs(spark, d), NOW).select(
+        "id", F.round(F.col("age_days") * 86400000.0).cast("long").alias("age_ms"), *[F.round(c, 6).alias(c) for c in [*_COMP, "final_score"]])
 
 
 @query("rescore_batch", with_views("obs") + f"""SELECT id, round({FINAL}, 6) AS importance_score, {NOW} AS score_updated_at_epoch FROM {parts_sql(NOW)}
