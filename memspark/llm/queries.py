@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import common, mixing, packing, sharding
+from memspark.llm import common, jaccard, mixing, packing, sharding
 
 Q: dict = {}
 SQL: dict = {}
@@ -24,6 +24,27 @@ def op1_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"), "home_shard")
 
 
+@query
+def op4_multi_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = jaccard.join(common.table(spark, sf_dir, "documents"), "doc_id", "text", words=4, percent=85)
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
+SQL["op4_multi_match_join"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) END) AS g FROM w WHERE len(w) > 0),
+g AS (SELECT DISTINCT doc_id, hash(g) AS g FROM s),
+n AS (SELECT doc_id, count(*)::BIGINT AS n FROM g GROUP BY doc_id),
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT doc_id, doc_id AS z FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.z),
+k AS (SELECT doc_id, min(z) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+
 @query
 def op5_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(common.table(spark, sf_dir, "documents"), "doc_id", "text", "source")
