@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import common, jaccard, mixing, packing, sharding
+from memspark.llm import common, fingerprints, jaccard, mixing, packing, sharding
 
 Q: dict = {}
 SQL: dict = {}
@@ -77,6 +77,11 @@ SELECT q.doc_id, q.size, q.source_size, q.target, (coalesce(copies, 0) * q.size)
 FROM q LEFT JOIN c USING (doc_id)"""
 
 
+@query
+def op8_i_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(common.table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @query
 def op10_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), "doc_id", "text", packing.default_vocabulary())
