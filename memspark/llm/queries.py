@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import common, fingerprints, jaccard, mixing, packing, sharding
+from memspark.llm import common, cross_polytope, fingerprints, jaccard, mixing, packing, sharding
 
 Q: dict = {}
 SQL: dict = {}
@@ -24,6 +24,12 @@ def op1_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"), "home_shard")
 
 
+@query
+def op3_cross_polytope_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.table(spark, sf_dir, "embeddings")
+    return cross_polytope.search(vectors, "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20)
+
+
 @query
 def op4_multi_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = jaccard.join(common.table(spark, sf_dir, "documents"), "doc_id", "text", words=4, percent=85)
