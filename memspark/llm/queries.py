@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import common, cross_polytope, fingerprints, jaccard, mixing, packing, sharding
+from memspark.llm import common, cross_polytope, fingerprints, jaccard, mixing, packing, sharding, toxicity
 
 Q: dict = {}
 SQL: dict = {}
@@ -83,6 +83,21 @@ SELECT q.doc_id, q.size, q.source_size, q.target, (coalesce(copies, 0) * q.size)
 FROM q LEFT JOIN c USING (doc_id)"""
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str, learn) -> toxicity.Model:
+    """Fitted on the documents for which ``learn`` (a condition on doc_id) holds."""
+    labels = common.table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.fit(docs, "doc_id", "text", labels, "toxic", learn)
+
+
+@query
+def op7_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    remainder = common.id_remainder(F.col("doc_id"), 5)
+    model = toxicity_model(spark, docs, sf_dir, remainder > 0)
+    return docs.select("doc_id", (remainder == 0).alias("held_out"), toxicity.score(model, F.col("text")).alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 @query
 def op8_i_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(common.table(spark, sf_dir, "documents"), "doc_id", "text")
