@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import common, cross_polytope, fingerprints, jaccard, mixing, packing, sharding, toxicity
+from memspark.llm import common, cross_polytope, fingerprints, jaccard, langid, mixing, packing, sharding, toxicity
 
 Q: dict = {}
 SQL: dict = {}
@@ -83,6 +83,21 @@ SELECT q.doc_id, q.size, q.source_size, q.target, (coalesce(copies, 0) * q.size)
 FROM q LEFT JOIN c USING (doc_id)"""
 
 
+def piece_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op6_marginal_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    remainder = common.id_remainder(F.col("doc_id"), 4)
+    model = langid.fit(docs, "doc_id", "text", "lang", piece_vocabulary(), remainder != 2)
+    return docs.select("doc_id", (remainder == 2).alias("held_out"), langid.predict(model, F.col("text")).alias("p")).select(
+        "doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str, learn) -> toxicity.Model:
     """Fitted on the documents for which ``learn`` (a condition on doc_id) holds."""
     labels = common.table(spark, sf_dir, "labels").select("doc_id", "toxic")
