@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import common, cross_polytope, fingerprints, jaccard, langid, mixing, packing, sharding, toxicity
+from memspark.llm import common, cross_polytope, fingerprints, jaccard, langid, main_text, mixing, packing, sharding, toxicity
 
 Q: dict = {}
 SQL: dict = {}
@@ -24,6 +24,12 @@ def op1_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"), "home_shard")
 
 
+@query
+def op2_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return main_text.extract(pages, "html").select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op3_cross_polytope_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = common.table(spark, sf_dir, "embeddings")
