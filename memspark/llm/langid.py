@@ -26,6 +26,8 @@ MOST_DOCUMENTS = 400
 ROUNDS, SMOOTHING, LONGEST, LONGEST_FITTED = 3, 0.1, 16, 64
 #: Probability of a character that is no piece, in every language.
 UNKNOWN = 1e-7
+#: Words of more bytes are scored one by one.
+LONG_WORD = 256
 SLOTS = 1 << 20
 
 
@@ -47,6 +49,7 @@ class Pieces:
             raw = _folded(np.frombuffer(rest.encode(), np.uint8)).tobytes()
             texts.add((b" " if rest != piece else b"") + raw)
         self.texts = sorted(t for t in texts if 0 < len(t) <= LONGEST)
+        self.index = {t: i for i, t in enumerate(self.texts)}
         data = np.frombuffer(b"".join(self.texts), np.uint8)
         end = np.cumsum([len(t) for t in self.texts])
         self.lengths = sorted({len(t) for t in self.texts})
@@ -102,13 +105,39 @@ def log_likelihoods(data: np.ndarray, offsets: np.ndarray, pieces: Pieces, proba
     out = np.zeros((len(offsets) - 1, probabilities.shape[1]))
     padded = np.vstack([probabilities, np.zeros((1, probabilities.shape[1]))])  # the last row is for -1, no piece
     text, start, n, order = _with_starts(data, offsets)
-    for c in range(0, len(order), chunk):
+    long_words = int(np.searchsorted(-n, -LONG_WORD))
+    for i in range(long_words):
+        out[order[i]] = _forward_one(text[start[i]:start[i] + n[i]].tobytes(), pieces, probabilities)
+    for c in range(long_words, len(order), chunk):
         s, m = start[c:c + chunk], n[c:c + chunk]
         lo, hi = s[0], s[-1] + m[-1]
         out[order[c:c + chunk]] = _forward(text[lo:hi], s - lo, m, pieces, padded)
     return out
 
 
+def _forward_one(word: bytes, pieces: Pieces, p: np.ndarray) -> np.ndarray:
+    """The same for one long word, position by position."""
+    window, logs = [np.ones(p.shape[1])], np.zeros(p.shape[1])
+    for j in range(1, len(word) + 1):
+        now = np.zeros(p.shape[1])
+        for length in pieces.lengths:
+            if length > j:
+                break
+            i = pieces.index.get(word[j - length:j])
+            if i is not None:
+                now = now + window[-length] * p[i]
+        if j == len(word) or word[j] & 0xC0 != 0x80:
+            size = 1
+            while size < min(4, j) and word[j - size] & 0xC0 == 0x80:
+                size += 1
+            now = now + window[-size] * UNKNOWN
+        if now.max() > 0 and j % 4 == 0:
+            scale = now.max()
+            now, window, logs = now / scale, [x / scale for x in window], logs + np.log(scale)
+        window = [*window[-LONGEST:], now]
+    return np.log(np.maximum(window[-1], 1e-300)) + logs
+
+
 def _forward(text: np.ndarray, start: np.ndarray, n: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
     """Words are ordered longest first, so the words that go on after a step are the first ones."""
     total = prefix_sums(text)

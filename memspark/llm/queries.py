@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import common, cross_polytope, fingerprints, jaccard, langid, main_text, mixing, packing, sharding, toxicity
+from memspark.llm import common, cross_polytope, fingerprints, jaccard, langid, main_text, mixing, packing, sharding, token_counts, toxicity
 
 Q: dict = {}
 SQL: dict = {}
@@ -124,6 +124,12 @@ def op8_i_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(common.table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@query
+def op9_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.with_token_counts(docs, "text", piece_vocabulary()).select("doc_id", "n_tokens", "n_pretokens")
+
+
 @query
 def op10_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), "doc_id", "text", packing.default_vocabulary())
