@@ -24,10 +24,14 @@ def query(name, sql=None):
 
 # candidate pairs and relations ---------------------------------------------------------------------------
 
-_BEST = _TOPK[_TOPK.index(", p AS"):].replace("SELECT viewer, id, rank FROM r WHERE rank <= 50", "")
-PAIRS = with_views("obs") + _BEST + """, b AS (SELECT viewer, id FROM r WHERE rank <= 50),
-  pairs AS (SELECT n AS n, o AS o FROM obs_v n JOIN b ON b.viewer = n.project JOIN obs_v o ON o.id = b.id
-    WHERE o.id <> n.id AND (o.created_at_epoch < n.created_at_epoch OR (o.created_at_epoch = n.created_at_epoch AND o.id < n.id)))"""
+_EARLIER = "(o.created_at_epoch < n.created_at_epoch OR (o.created_at_epoch = n.created_at_epoch AND o.id < n.id))"
+PAIRS = with_views("obs") + f""", slim AS MATERIALIZED (SELECT id, project, coalesce(scope, 'project') AS scope, coalesce(importance_score, 1e0) AS imp, created_at_epoch FROM obs_v),
+  b AS MATERIALIZED (SELECT n_id, o_id FROM (SELECT n.id AS n_id, o.id AS o_id,
+      row_number() OVER (PARTITION BY n.id ORDER BY o.imp DESC, o.created_at_epoch DESC, o.id DESC) AS rank
+    FROM slim n JOIN (SELECT s.*, p.project AS viewer FROM slim s JOIN (SELECT DISTINCT project FROM slim) p
+        ON s.scope = 'global' OR s.project = p.project) o ON o.viewer = n.project AND {_EARLIER}) WHERE rank <= 50),
+  wide AS MATERIALIZED (SELECT * FROM obs_v),
+  pairs AS (SELECT n AS n, o AS o FROM b JOIN wide n ON n.id = b.n_id JOIN wide o ON o.id = b.o_id)"""
 
 
 def _relation_pairs(spark, d):

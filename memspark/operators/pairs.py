@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memspark import vocab
-from memspark.operators.ordering import visible_top
+from memspark.operators.ordering import order_columns, top_per_group, visible_top
 from memspark.session import broadcast_if_small, durable
 
+RANGES = 64  # parts of the time axis in which the best rows so far are followed
 SMALL_PROJECTS = 4_000  # rows of at most 50 slim structs each, about 40 MB
 
 
@@ -28,25 +31,118 @@ def best_visible(existing: DataFrame, fields: list[str], n: int = vocab.MAX_CAND
         "viewer", F.transform("e", lambda x: x["o"]).alias("best"))
 
 
+def _time_ranges(rows: DataFrame) -> list[int]:
+    """Ascending bounds that cut the rows' times into about RANGES equal parts."""
+    shares = [i / RANGES for i in range(1, RANGES)]
+    return sorted(set(rows.agg(F.percentile_approx("created_at_epoch", shares, 20 * RANGES)).first()[0] or []))
+
+
+def _range_of(bounds: list[int]) -> Column:
+    """How many bounds lie before a row's time."""
+    if not bounds:
+        return F.lit(0)
+    return F.size(F.filter(F.lit(bounds), lambda b: b < F.col("created_at_epoch")))
+
+
+_KEYS = ["viewer", "range", "id", "importance_score", "created_at_epoch"]
+
+
+def _bases(n: int):
+    def bases(rows: pd.DataFrame) -> pd.DataFrame:
+        """The n best of all ranges before each range, from the n best of every range."""
+        held, parts, frames = rows.iloc[:0], dict(list(rows.groupby("range"))), []
+        for at in range(1, RANGES + 1):
+            held = pd.concat([held, parts[at - 1]]) if at - 1 in parts else held
+            held = held.sort_values(["importance_score", "created_at_epoch", "id"], ascending=False).head(n)
+            frames.append(held.assign(range=at))
+        return pd.concat(frames)[_KEYS] if frames else rows[_KEYS]
+
+    return bases
+
+
+def _spans(n: int):
+    def spans(rows: pd.DataFrame) -> pd.DataFrame:
+        """From when until when each row is among the n best so far, within one range of time.
+
+        A row comes in when it is created, and once n better ones are there it stays out.
+        """
+        held: list[tuple] = []  # ascending by importance, time, id
+        since: dict[int, tuple] = {}
+        out = []
+        order = rows.sort_values(["base", "created_at_epoch", "id"], ascending=[False, True, True])
+        for base, score, time, row in zip(order["base"], order["importance_score"], order["created_at_epoch"], order["id"], strict=True):
+            insort(held, (score, time, row))
+            since[row] = (None, None) if base else (time, row)
+            if len(held) > n:
+                gone = held.pop(0)[2]
+                start = since.pop(gone)
+                if start != (time, row) and not base:
+                    out.append((gone, *start, time, row))
+        out += [(row, *start, None, None) for row, start in since.items()]
+        frame = pd.DataFrame(out, columns=["o_id", "from_time", "from_id", "until_time", "until_id"]).astype("Int64")
+        return frame.assign(viewer=rows["viewer"].iloc[0], range=int(rows["range"].iloc[0])) if len(rows) else frame
+
+    return spans
+
+
+def best_so_far(existing: DataFrame, n: int, projects: DataFrame, bounds: list[int]) -> DataFrame:
+    """(viewer, range, o_id, from_*, until_*): the spans in which each row is among the n best rows that its viewer could see so
+    far, cut at the time ranges.
+
+    The n best of the ranges before are merged per viewer, n rows per range; each range is then run through by itself, so a
+    large project is split over as many tasks as there are ranges. Global rows are reduced to those that were ever among the n
+    best global ones before every viewer gets them.
+    """
+    score = F.coalesce("importance_score", F.lit(1.0)).alias("importance_score")
+    scope = F.coalesce("scope", F.lit("project"))
+    keys = durable(existing.select("project", scope.alias("scope"), _range_of(bounds).alias("range"), "id", score, "created_at_epoch"))
+
+    def run(rows: DataFrame) -> DataFrame:
+        best = top_per_group(rows, ["viewer", "range"], order_columns("importance"), n, "_r").select(*_KEYS)
+        kinds = rows.select(*_KEYS).schema
+        bases = best.groupBy("viewer").applyInPandas(_bases(n), kinds)
+        both = bases.withColumn("base", F.lit(True)).unionByName(rows.select(*_KEYS).withColumn("base", F.lit(False)))
+        return durable(both.groupBy("viewer", "range").applyInPandas(
+            _spans(n), "o_id long, from_time long, from_id long, until_time long, until_id long, viewer string, range int"))
+
+    shared = keys.filter(F.col("scope") == "global").withColumn("viewer", F.lit(""))
+    ever = run(shared).select(F.col("o_id").alias("id")).distinct()
+    viewers = projects.select(F.col("project").alias("viewer")).distinct()
+    own = keys.filter(F.col("scope") == "project").withColumn("viewer", F.col("project")).join(viewers, "viewer", "left_semi")
+    seen = keys.join(ever, "id", "left_semi").filter(F.col("scope") == "global").withColumn("_all", F.lit(1)).join(
+        viewers.withColumn("_all", F.lit(1)), "_all")  # about n * log(rows) global rows for every project
+    return run(own.select(*_KEYS).unionByName(seen.select(*_KEYS)))
+
+
 def candidate_pairs(new: DataFrame, existing: DataFrame, new_fields: list[str], old_fields: list[str],
                     max_candidates: int = vocab.MAX_CANDIDATES, older_only: bool = True,
                     derive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(n_*, o_*) pairs of a new row and an existing one among its project's best visible rows, never itself.
 
-    The bound belongs to the semantics: a new row is compared with the 50 most important rows visible to its project.
-    Work is therefore linear in the new rows, and a hot project only lengthens the streamed side of a join whose other
-    side has one row per project. ``older_only`` keeps pairs whose existing side was created earlier, so that one batch
-    over a whole table can stand for row-by-row arrival.
+    The bound belongs to the semantics: a new row is compared with the 50 most important rows that its project can see.
+    With ``older_only`` these are the best of the rows created before it, as when rows arrive one by one, so that one batch
+    over a whole table can stand for row-by-row arrival; otherwise the best of the whole table. Work is linear in the new rows.
     """
-    best = best_visible(existing, list(dict.fromkeys([*old_fields, "id", "created_at_epoch"])), max_candidates, derive,
-                        new.select("project").distinct())
     newer = new.select(*[F.col(c).alias(f"n_{c}") for c in dict.fromkeys([*new_fields, "id", "created_at_epoch", "project"])])
-    best = broadcast_if_small(durable(best), SMALL_PROJECTS)
-    fan = newer.join(best, newer["n_project"] == best["viewer"]).withColumn("_o", F.explode("best"))
-    pairs = fan.select(*newer.columns, "_o.*").filter(F.col("n_id") != F.col("o_id"))
-    if older_only:
-        pairs = pairs.filter(F.struct("o_created_at_epoch", "o_id") < F.struct("n_created_at_epoch", "n_id"))
-    return pairs
+    fields = list(dict.fromkeys([*old_fields, "id", "created_at_epoch"]))
+    if not older_only:
+        best = best_visible(existing, fields, max_candidates, derive, new.select("project").distinct())
+        best = broadcast_if_small(durable(best), SMALL_PROJECTS)
+        fan = newer.join(best, newer["n_project"] == best["viewer"]).withColumn("_o", F.explode("best"))
+        return fan.select(*newer.columns, "_o.*").filter(F.col("n_id") != F.col("o_id"))
+    bounds = _time_ranges(existing)
+    spans = best_so_far(existing, max_candidates, new.select("project").distinct(), bounds)
+    wanted = spans.select(F.col("o_id").alias("id")).distinct()
+    rows = existing.join(wanted, "id", "left_semi")
+    rows = (derive(rows) if derive else rows).select(*[F.col(c).alias(f"o_{c}") for c in fields])
+    spans = spans.join(rows, "o_id")
+    at = F.struct("n_created_at_epoch", "n_id")
+    newer = newer.withColumn("_range", _range_of(bounds) if not bounds else F.size(F.filter(
+        F.lit(bounds), lambda b: b < F.col("n_created_at_epoch"))))
+    met = newer.join(spans, (F.col("n_project") == F.col("viewer")) & (F.col("_range") == F.col("range"))
+                     & (F.col("from_time").isNull() | (F.struct("from_time", "from_id") < at))
+                     & (F.col("until_time").isNull() | (F.struct("until_time", "until_id") >= at)))
+    return met.select(*newer.drop("_range").columns, *rows.columns)
 
 
 def file_overlap_pairs(pairs: DataFrame) -> DataFrame:
