@@ -24,11 +24,14 @@ DRAWS, SCALES = 16, 6
 EMPTY = "--------"
 
 
+def _number(word: Column) -> Column:
+    return F.hash(word).bitwiseAND(F.lit(TERM_SPACE - 1))
+
+
 def term_numbers(text: Column) -> Column:
     """Distinct numbers of the lower-case words of a text, sorted."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.array_sort(F.array_distinct(F.transform(
-        words, lambda w: F.pmod(F.xxhash64(w), F.lit(TERM_SPACE)).cast("int"))))
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+")
+    return F.sort_array(F.array_remove(F.array_distinct(F.transform(words, _number)), _number(F.lit(""))))
 
 
 def lexicon(df: DataFrame, text: str) -> DataFrame:
@@ -48,18 +51,18 @@ def lexicon(df: DataFrame, text: str) -> DataFrame:
 def with_fingerprint(df: DataFrame, text: str, bits: DataFrame, name: str) -> DataFrame:
     """Add column ``name``: the hash of the whole lexicon's terms (of all terms, if none is in it), then one hash per
     randomised lexicon, null where the text has none of its terms."""
-    df = df.withColumn("_terms", term_numbers(F.col(text))).withColumn("_bits", bits.scalar())
-    inside = F.filter("_terms", lambda t: F.getbit(F.col("_bits")[F.shiftright(t, 6)], F.pmod(t, F.lit(64))) == 1)
-    df = df.withColumn("_in", inside).drop("_bits")
-    df = df.withColumn("_h", F.when(F.size("_in") > 0, F.xxhash64("_in")).otherwise(F.xxhash64("_terms"))).drop("_terms")
+    df = df.withColumn("_terms", term_numbers(F.col(text))).withColumn("_all", F.xxhash64("_terms"))
+    # the bit map is used once and dropped in the same step, so that it never becomes a column of the rows
+    inside = F.filter("_terms", lambda t: F.getbit(F.col("_bits")[F.shiftright(t, 6)], t.bitwiseAND(F.lit(63))) == 1)
+    df = df.withColumn("_bits", bits.scalar()).withColumn("_in", inside).drop("_bits", "_terms")
+    df = df.withColumn("_h", F.when(F.size("_in") > 0, F.xxhash64("_in")).otherwise(F.col("_all"))).drop("_all")
     parts, hashes = [F.col("_in")] * DRAWS, [F.col("_h")]
     for scale in range(SCALES):
         columns = {}
         for draw in range(DRAWS):
-            mask = F.lit(1 if scale == 0 else 3).cast("long")
-            shift = 0 if scale == 0 else 2 * scale - 1
-            columns[f"_s{scale}_{draw}"] = F.filter(parts[draw], lambda t: F.shiftright(  # noqa: B023
-                F.xxhash64(t, F.lit(draw)), shift).bitwiseAND(mask) == 0)  # noqa: B023
+            # 1/2 at first, then 1/4 of that
+            mask = F.lit(1 if scale == 0 else 3 << 2 * scale - 1)
+            columns[f"_s{scale}_{draw}"] = F.filter(parts[draw], lambda t: F.hash(t, F.lit(draw)).bitwiseAND(mask) == 0)  # noqa: B023
         df = df.withColumns(columns)
         names = list(columns)
         df = df.withColumns({f"_h{c}": F.when(F.size(c) > 0, F.xxhash64(c)) for c in names})
