@@ -289,7 +289,7 @@ def semi_anti_forms(spark, d):
 # patterns -------------------------------------------------------------------------------------------------------
 
 _SIGS = f""", s AS MATERIALIZED (SELECT id, project, created_at_epoch, title, narrative, concepts, sig FROM {SIG_SQL}),
- top AS (SELECT * FROM patterns_v WHERE status = 'active' ORDER BY frequency DESC, confidence DESC, id LIMIT 100),
+ top AS (SELECT * FROM patterns_v WHERE status = 'active'),
  m0 AS (SELECT s.id, t.id AS pattern_id, t.frequency, t.confidence, len(list_filter(t.signature, lambda w: list_contains(s.sig, w))) AS m, len(s.sig) AS n1, len(t.signature) AS n2 FROM s CROSS JOIN top t),
  m1 AS (SELECT id, pattern_id, frequency, confidence, m / CAST(n1 + n2 - m AS DOUBLE) AS score FROM m0 WHERE m / CAST(n1 + n2 - m AS DOUBLE) >= 0.3e0),
  best AS (SELECT id, pattern_id, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, frequency DESC, confidence DESC, pattern_id) AS rn FROM m1) WHERE rn = 1)"""

@@ -40,16 +40,16 @@ _CTES = {
       event_id % 17 = 0 AS is_superseded
     FROM events e JOIN documents d ON d.doc_id = e.event_id % {NDOC}"""),
     "prompts": ("prompts_v", f"""
-    SELECT conv_id*1000+turn AS id, 'c' || conv_id AS session_id, turn + 1 AS prompt_number, text AS prompt_text,
+    SELECT conv_id*1000+turn AS id, CASE WHEN conv_id % 7 = 3 THEN 'x' ELSE 'c' END || conv_id AS session_id, turn + 1 AS prompt_number, text AS prompt_text,
       turn AS matched_observations, {V.BASE_MS} + conv_id*3600000 + turn*60000 AS created_at_epoch
     FROM conversations WHERE role = 'user'"""),
     "sessions": ("sessions_v", f"""
     SELECT conv_id AS id, 'c' || conv_id AS session_id, 'c' || conv_id AS sdk_session_id,
       'p' || (conv_id % 8) AS project, '' AS user_prompt, {V.BASE_MS} + conv_id*3600000 AS started_at_epoch,
       {pick(vocab.SESSION_STATUSES, 'conv_id % 3')} AS status, CAST(0 AS BIGINT) AS prompt_counter
-    FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 2 = 0)"""),
+    FROM (SELECT DISTINCT conv_id FROM conversations)"""),
     "summaries": ("summaries_v", f"""
-    SELECT conv_id AS id, 'c' || conv_id AS sdk_session_id, 'p' || (conv_id % 8) AS project,
+    SELECT conv_id AS id, CASE WHEN conv_id % 7 = 3 THEN 'x' ELSE 'c' END || conv_id AS sdk_session_id, 'p' || (conv_id % 8) AS project,
       arg_min(text, turn) FILTER (WHERE role = 'user') AS request,
       arg_max(text, turn) FILTER (WHERE role = 'assistant') AS learned,
       {V.BASE_MS} + conv_id*3600000 + max(turn)*60000 + 30000 AS created_at_epoch

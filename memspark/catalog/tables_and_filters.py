@@ -134,7 +134,8 @@ def io_upsert(spark, d):
       created_at_epoch AS at_ms, prompt_number AS seq FROM prompts_v),
   r AS (SELECT session_id, arg_max(project, seq) FILTER (WHERE project <> '') AS np, arg_max(p, seq) FILTER (WHERE project <> '') AS npr,
       arg_min(project, seq) AS fp, arg_min(p, seq) AS fpr, min(at_ms) AS at_ms FROM req GROUP BY session_id)
-  SELECT coalesce(s.session_id, r.session_id) AS session_id, coalesce(np, s.project, fp) AS project,
+  SELECT coalesce(s.id, row_number() OVER (PARTITION BY s.id IS NULL ORDER BY r.session_id) + (SELECT max(id) FROM sessions_v)) AS id,
+    coalesce(s.session_id, r.session_id) AS session_id, coalesce(np, s.project, fp) AS project,
     length(CASE WHEN np IS NOT NULL THEN npr ELSE coalesce(s.user_prompt, fpr) END) AS n_prompt,
     coalesce(s.started_at_epoch, r.at_ms) AS started_at_epoch, coalesce(s.status, 'active') AS status
   FROM sessions_v s FULL JOIN r ON s.session_id = r.session_id""")
@@ -144,14 +145,14 @@ def io_session_upsert(spark, d):
         "session_id", F.when(n == 0, "").otherwise(F.concat(F.lit("q"), n)).alias("project"),
         F.col("prompt_text").alias("user_prompt"), F.col("created_at_epoch").alias("at_epoch"), F.col("prompt_number").alias("seq"))
     return tb.session_upsert(v.sessions(spark, d), req).select(
-        "session_id", "project", F.length("user_prompt").cast("long").alias("n_prompt"), "started_at_epoch", "status")
+        "id", "session_id", "project", F.length("user_prompt").cast("long").alias("n_prompt"), "started_at_epoch", "status")
 
 
-@query("io_ensure_parent", with_views("sessions", "summaries") + """SELECT sdk_session_id AS session_id, min(project) AS project,
+@query("io_ensure_parent", with_views("sessions", "summaries") + """SELECT row_number() OVER (ORDER BY sdk_session_id) + (SELECT max(id) FROM sessions_v) AS id, sdk_session_id AS session_id, min(project) AS project,
   min(created_at_epoch) AS started_at_epoch FROM summaries_v WHERE sdk_session_id NOT IN (SELECT sdk_session_id FROM sessions_v)
   GROUP BY sdk_session_id""")
 def io_ensure_parent(spark, d):
-    return tb.ensure_parent(v.sessions(spark, d), v.summaries(spark, d)).select("session_id", "project", "started_at_epoch")
+    return tb.ensure_parent(v.sessions(spark, d), v.summaries(spark, d)).select("id", "session_id", "project", "started_at_epoch")
 
 
 _CTX = ("'## ' || rank || '. [' || upper(type) || '] ' || title || chr(10) || narrative || chr(10) || 'Key facts:' || chr(10) || "

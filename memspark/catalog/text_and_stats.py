@@ -267,8 +267,8 @@ def cls_pool(spark, d):
 # aggregates -----------------------------------------------------------------------------------------------
 
 _FB = """count(*) AS total, count(*) FILTER (WHERE user_feedback = 1) AS positive, count(*) FILTER (WHERE user_feedback = -1) AS negative,
-  count(*) FILTER (WHERE user_feedback = 0) AS neutral, round(avg(coalesce(importance_score, 1e0)), 6) AS avg_score,
-  round(avg(CAST(retrieval_count AS DOUBLE)), 6) AS avg_retrieval"""
+  count(*) FILTER (WHERE user_feedback = 0) AS neutral, CAST(sum(CAST(coalesce(importance_score, 1e0) AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS avg_score,
+  CAST(sum(coalesce(retrieval_count, 0)) AS DOUBLE) / count(*) AS avg_retrieval"""
 
 
 def _rounded(df, *cols):
@@ -277,19 +277,19 @@ def _rounded(df, *cols):
 
 @query("feedback_stats", with_views("obs") + f"SELECT {_FB} FROM obs_v")
 def feedback_stats(spark, d):
-    return _rounded(st.feedback_stats(v.obs(spark, d)), "avg_score", "avg_retrieval")
+    return st.feedback_stats(v.obs(spark, d))
 
 
 @query("feedback_stats_by_project", with_views("obs") + f", p AS (SELECT DISTINCT project FROM obs_v) SELECT p.project, {_FB} FROM p JOIN obs_v o ON o.project = p.project OR o.scope = 'global' GROUP BY p.project")
 def feedback_stats_by_project(spark, d):
-    return _rounded(st.feedback_stats_by_project(v.obs(spark, d)), "avg_score", "avg_retrieval")
+    return st.feedback_stats_by_project(v.obs(spark, d))
 
 
 @query("pattern_stats", with_views("patterns") + "SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in vocab.PATTERN_STATUSES)
-       + ", CAST(sum(frequency) AS BIGINT) AS total_occurrences, round(avg(confidence), 6) AS avg_confidence, "
+       + ", CAST(sum(frequency) AS BIGINT) AS total_occurrences, CAST(sum(CAST(confidence AS DECIMAL(18,6))) AS DOUBLE) / count(confidence) AS avg_confidence, "
        + ", ".join(f"count(*) FILTER (WHERE type = '{t}') AS {t.replace('-', '_')}s" for t in vocab.PATTERN_TYPES) + " FROM patterns_v")
 def pattern_stats(spark, d):
-    return _rounded(st.pattern_stats(v.patterns(spark, d)), "avg_confidence")
+    return st.pattern_stats(v.patterns(spark, d))
 
 
 @query("relation_stats", with_views("relations") + """SELECT coalesce(relation_type, 'all') AS relation_type, count(*) AS total, count(*) FILTER (WHERE confidence >= 0.7e0) AS high_confidence
@@ -370,9 +370,9 @@ def keep_latest_n(spark, d):
     return od.keep_latest(v.obs(spark, d), vocab.KEEP_OBSERVATIONS_PER_PROJECT, "project")
 
 
-@query("keep_latest_prompts", with_views("prompts") + "SELECT id FROM (SELECT id, row_number() OVER (ORDER BY created_at_epoch DESC, id DESC) AS r FROM prompts_v) WHERE r > 150")
+@query("keep_latest_prompts", with_views("prompts") + f"SELECT id FROM (SELECT id, row_number() OVER (ORDER BY created_at_epoch DESC, id DESC) AS r FROM prompts_v) WHERE r > {vocab.KEEP_PROMPTS}")
 def keep_latest_prompts(spark, d):
-    return od.keep_latest(v.prompts(spark, d), 150)
+    return od.keep_latest(v.prompts(spark, d), vocab.KEEP_PROMPTS)
 
 
 @query("prompt_number", with_views("prompts", "sessions") + """SELECT p.id, row_number() OVER (PARTITION BY p.session_id ORDER BY p.created_at_epoch, p.id) + coalesce(s.prompt_counter, 0) AS number

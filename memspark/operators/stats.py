@@ -14,7 +14,7 @@ def _feedback_sums():
     fb = F.coalesce("user_feedback", F.lit(0))
     return [
         F.count("*").alias("total"), F.count_if(fb == 1).alias("positive"), F.count_if(fb == -1).alias("negative"),
-        F.count_if(fb == 0).alias("neutral"), F.sum(importance()).alias("_score"),
+        F.count_if(fb == 0).alias("neutral"), F.sum(importance().cast("decimal(18,6)")).alias("_score"),
         F.sum(F.coalesce("retrieval_count", F.lit(0))).alias("_retrieved"),
     ]
 
@@ -44,7 +44,8 @@ def pattern_stats(patterns: DataFrame) -> DataFrame:
         F.count("*").alias("total"),
         *[F.count_if(F.col("status") == s).alias(s) for s in vocab.PATTERN_STATUSES],
         F.coalesce(F.sum("frequency"), F.lit(0)).alias("total_occurrences"),
-        F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("avg_confidence"),
+        F.coalesce(F.try_divide(F.sum(F.col("confidence").cast("decimal(18,6)")).cast("double"), F.count("confidence")),
+                   F.lit(0.0)).alias("avg_confidence"),
         *[F.count_if(F.col("type") == t).alias(t.replace("-", "_") + "s") for t in vocab.PATTERN_TYPES],
     )
 

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only when none is configured."""
+    """The shared checkpoint folder that ``spark.checkpoint.dir`` names. Only a local master may do without: it gets a
+    temporary folder, as all its tasks share the machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="memspark-checkpoint-"))
     return sc.getCheckpointDir()
 

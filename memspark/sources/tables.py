@@ -155,7 +155,7 @@ def session_upsert(sessions: DataFrame, requests: DataFrame) -> DataFrame:
         F.min_by("project", "seq").alias("_first_project"), F.min_by("user_prompt", "seq").alias("_first_prompt"),
         F.min("at_epoch").alias("_at"))
     j = sessions.join(req, "session_id", "full")
-    return j.select(
+    out = j.select(
         "id", "session_id", F.coalesce("sdk_session_id", "session_id").alias("sdk_session_id"),
         F.coalesce("_project", "project", "_first_project").alias("project"),
         F.when(F.col("_project").isNotNull(), F.col("_prompt")).otherwise(
@@ -163,12 +163,17 @@ def session_upsert(sessions: DataFrame, requests: DataFrame) -> DataFrame:
         F.coalesce("started_at_epoch", "_at").alias("started_at_epoch"), "completed_at_epoch",
         F.coalesce("status", F.lit("active")).alias("status"),
         F.coalesce("prompt_counter", F.lit(0).cast("long")).alias("prompt_counter"))
+    added = with_new_ids(out.filter(F.col("id").isNull()), sessions, ["session_id"])
+    return out.filter(F.col("id").isNotNull()).unionByName(added.select(*out.columns))
 
 
 def ensure_parent(sessions: DataFrame, children: DataFrame) -> DataFrame:
-    """Session rows to add for child rows whose session does not exist; both ids are the child's key."""
+    """Session rows to add for child rows whose session does not exist, with all columns and new ids, ready to append; both
+    session ids are the child's key."""
     missing = children.groupBy("sdk_session_id").agg(
         F.min("project").alias("project"), F.min("created_at_epoch").alias("started_at_epoch"))
-    return missing.join(sessions.select("sdk_session_id"), "sdk_session_id", "left_anti").select(
-        F.col("sdk_session_id").alias("session_id"), "sdk_session_id", "project", "started_at_epoch",
-        F.lit("active").alias("status"))
+    rows = missing.join(sessions.select("sdk_session_id"), "sdk_session_id", "left_anti").select(
+        F.col("sdk_session_id").alias("session_id"), "sdk_session_id", "project", F.lit("").alias("user_prompt"),
+        "started_at_epoch", F.lit(None).cast("long").alias("completed_at_epoch"), F.lit("active").alias("status"),
+        F.lit(0).cast("long").alias("prompt_counter"))
+    return with_new_ids(rows, sessions, ["session_id"]).select(*sessions.columns)

@@ -86,7 +86,8 @@ def prompts(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
     return c.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
-        F.concat(F.lit("c"), F.col("conv_id")).alias("session_id"),
+        # some prompts name a session that does not exist
+        F.concat(F.when(F.col("conv_id") % 7 == 3, "x").otherwise("c"), F.col("conv_id")).alias("session_id"),
         (F.col("turn") + 1).alias("prompt_number"),
         F.col("text").alias("prompt_text"),
         F.col("turn").alias("matched_observations"),
@@ -95,7 +96,7 @@ def prompts(spark, sf_dir) -> DataFrame:
 
 
 def sessions(spark, sf_dir) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select("conv_id").distinct().filter(F.col("conv_id") % 2 == 0)
+    c = table(spark, sf_dir, "conversations").select("conv_id").distinct()
     return c.select(
         F.col("conv_id").alias("id"),
         F.concat(F.lit("c"), F.col("conv_id")).alias("session_id"),
@@ -118,7 +119,7 @@ def summaries(spark, sf_dir) -> DataFrame:
         F.max("turn").alias("last_turn"))
     return g.select(
         F.col("conv_id").alias("id"),
-        F.concat(F.lit("c"), F.col("conv_id")).alias("sdk_session_id"),
+        F.concat(F.when(F.col("conv_id") % 7 == 3, "x").otherwise("c"), F.col("conv_id")).alias("sdk_session_id"),
         F.concat(F.lit("p"), F.col("conv_id") % 8).alias("project"),
         "request", F.lit(None).cast("string").alias("investigated"), "learned",
         F.lit(None).cast("string").alias("completed"), F.lit(None).cast("string").alias("next_steps"),
