@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -93,7 +94,8 @@ def drop_repeats(prompts: DataFrame, window: str = "10 seconds") -> DataFrame:
 
 def run_prompt_dedup(prompts: DataFrame, out: str, state: str, checkpoint: str,
                      window_ms: int = vocab.DUPLICATE_PROMPT_WINDOW_MS, once: bool = True) -> StreamingQuery:
-    """Exact prompt de-duplication; the state keeps the last saved prompt of each session and text still in reach."""
+    """Exact prompt de-duplication; the state keeps the last saved prompt of each session and text, while it is younger than
+    the window before the newest prompt. Prompts must arrive in the order of their times."""
     spark = prompts.sparkSession
     table = StateTable(spark, state, "session_id string, text_key string, created_at_epoch long")
 
@@ -102,7 +104,9 @@ def run_prompt_dedup(prompts: DataFrame, out: str, state: str, checkpoint: str,
         kept = durable(prompt_dedup(batch, window_ms, saved))
         write_batch(kept, out, batch_id)
         both = saved.unionByName(kept.select("session_id", "text_key", "created_at_epoch"))
-        table.write(both.groupBy("session_id", "text_key").agg(F.max("created_at_epoch").alias("created_at_epoch")), batch_id)
+        last = both.groupBy("session_id", "text_key").agg(F.max("created_at_epoch").alias("created_at_epoch"))
+        newest = batch.agg(F.coalesce(F.max("created_at_epoch"), F.lit(0)).alias("m")).scalar()
+        table.write(last.filter(F.col("created_at_epoch") > newest - window_ms), batch_id)
 
     return each_batch(prompts, run, checkpoint, once=once)
 
@@ -111,41 +115,70 @@ CANDIDATES = ("candidate_key string, frequency long, first_seen long, last_seen
               "signature array<string>, promoted boolean")
 
 
+def _sightings(batch: DataFrame) -> DataFrame:
+    rows = pt.with_signature(batch).filter(F.size("signature") > 0)
+    return rows.select(
+        tx.candidate_key(F.col("signature")).alias("candidate_key"), F.lit(1).cast("long").alias("frequency"),
+        F.col("created_at_epoch").alias("first_seen"), F.col("created_at_epoch").alias("last_seen"), F.col("id").alias("first_id"),
+        tx.pattern_type(F.col("concepts"), F.col("title"), F.col("narrative")).alias("type"), "title", "signature",
+        F.lit(False).alias("promoted"))
+
+
+def _merged(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(
+        F.sum("frequency").alias("frequency"), F.max("last_seen").alias("last_seen"),
+        F.min_by(F.struct("first_seen", "first_id", "type", "title", "signature"), F.struct("first_seen", "first_id")).alias("f"),
+        F.bool_or("promoted").alias("promoted")).select(
+            *keys, "frequency", F.col("f.first_seen").alias("first_seen"), "last_seen", F.col("f.first_id").alias("first_id"),
+            F.col("f.type").alias("type"), F.col("f.title").alias("title"), F.col("f.signature").alias("signature"), "promoted")
+
+
 def run_patterns(observations: DataFrame, out: str, state: str, checkpoint: str, min_frequency: int = 2,
                  forget_ms: int = 7 * 24 * 3600 * 1000, once: bool = True) -> StreamingQuery:
-    """Count candidate patterns over batches; write a pattern when it reaches ``min_frequency``.
+    """Count candidate patterns; one becomes a pattern when it reaches ``min_frequency``.
 
-    Candidates unseen for a week are forgotten. Each batch is aggregated per key before it meets the state table.
+    A candidate that is not seen again within ``forget_ms`` starts anew; a pattern is never forgotten, nor promoted twice, and
+    its frequency goes on. Every batch writes the patterns that it changed, with their frequencies so far; the last row of a
+    key holds (``latest_patterns``). Rows that arrive in the order of their times give the same patterns in any batches.
+    Sightings of known patterns are summed before they meet the state; only other candidates' sightings are ordered per key.
     """
     spark = observations.sparkSession
     table = StateTable(spark, state, CANDIDATES)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        rows = pt.with_signature(batch).filter(F.size("signature") > 0)
-        order = F.struct("created_at_epoch", "id")
-        new = rows.withColumn("candidate_key", tx.candidate_key(F.col("signature"))).groupBy("candidate_key").agg(
-            F.count("*").alias("frequency"), F.min("created_at_epoch").alias("first_seen"), F.max("created_at_epoch").alias("last_seen"),
-            F.min_by("id", order).alias("first_id"),
-            F.min_by(tx.pattern_type(F.col("concepts"), F.col("title"), F.col("narrative")), order).alias("type"),
-            F.min_by("title", order).alias("title"), F.first("signature").alias("signature"))
-        now = new.agg(F.coalesce(F.max("last_seen"), F.lit(0)).alias("m")).scalar()
         old = table.before(batch_id)
-        live = old.filter(F.col("last_seen") >= now - forget_ms)
-        both = live.unionByName(new.withColumn("promoted", F.lit(False)))
-        merged = durable(both.groupBy("candidate_key").agg(
-            F.sum("frequency").alias("frequency"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
-            *[F.min_by(c, F.struct("first_seen", "first_id")).alias(c) for c in ("first_id", "type", "title", "signature")],
-            F.bool_or("promoted").alias("promoted")))
-        ready = ~F.col("promoted") & (F.col("frequency") >= min_frequency)
-        promoted = merged.filter(ready).select(
+        seen = durable(_sightings(batch))
+        known = old.filter("promoted")
+        again = seen.join(known.select("candidate_key"), "candidate_key", "left_semi")
+        patterns = _merged(known.unionByName(_merged(again, ["candidate_key"])), ["candidate_key"])
+        open_ = old.filter("not promoted").unionByName(seen.join(known.select("candidate_key"), "candidate_key", "left_anti"))
+        order = W.partitionBy("candidate_key").orderBy("first_seen", "first_id")
+        gap = F.col("first_seen") - F.lag("last_seen").over(order) > forget_ms
+        runs = open_.withColumn("gap", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("run", F.sum("gap").over(order))
+        runs = durable(_merged(runs, ["candidate_key", "run"]))
+        first = runs.filter(F.col("frequency") >= min_frequency).groupBy("candidate_key").agg(F.min("run").alias("from"))
+        fresh = _merged(runs.join(first, "candidate_key").filter(F.col("run") >= F.col("from")), ["candidate_key"]).withColumn(
+            "promoted", F.lit(True))
+        waiting = runs.join(first, "candidate_key", "left_anti").groupBy("candidate_key").agg(
+            F.max_by(F.struct(*[c for c in old.columns if c != "candidate_key"]), "run").alias("r")).select("candidate_key", "r.*")
+        everything = durable(patterns.select(*old.columns).unionByName(fresh.select(*old.columns)).unionByName(waiting.select(*old.columns)))
+        touched = everything.filter("promoted").join(seen.select("candidate_key").distinct(), "candidate_key", "left_semi")
+        write_batch(touched.select(
             "candidate_key", tx.pattern_name(F.col("type"), F.col("signature"), F.col("title")).alias("name"), "type", "signature",
-            "frequency", F.col("first_id").alias("first_observation_id"), "last_seen")
-        write_batch(promoted, out, batch_id)
-        table.write(merged.withColumn("promoted", F.col("promoted") | ready).select(*old.columns), batch_id)
+            "frequency", F.col("first_id").alias("first_observation_id"), "last_seen"), out, batch_id)
+        newest = everything.agg(F.max("last_seen").alias("m")).scalar()
+        live = F.col("promoted") | (F.col("last_seen") >= newest - forget_ms)
+        table.write(everything.filter(live), batch_id)
 
     return each_batch(observations, run, checkpoint, once=once)
 
 
+def latest_patterns(written: DataFrame) -> DataFrame:
+    """The current row of every pattern, from the rows that ``run_patterns`` wrote batch by batch."""
+    rest = [c for c in written.columns if c not in ("candidate_key", "batch")]
+    return written.groupBy("candidate_key").agg(F.max_by(F.struct(*rest), "batch").alias("r")).select("candidate_key", "r.*")
+
+
 STORE = "id long, sdk_session_id string, project string, scope string, type string, title string, subtitle string, facts array<string>, " \
         "narrative string, concepts array<string>, files_read array<string>, files_modified array<string>, " \
         "created_at_epoch long, importance_score double, is_superseded boolean"
