@@ -252,7 +252,8 @@ def vector_docs(spark, d):
 
 
 _HEX = "0123456789abcdef"
-_SLOT = f"(((instr('{_HEX}', substr(md5(w), 1, 1)) - 1) * 16 + instr('{_HEX}', substr(md5(w), 2, 1)) - 1) % 64)"
+# four digest bytes modulo 64 depend on the fourth byte only
+_SLOT = f"(((instr('{_HEX}', substr(md5(w), 7, 1)) - 1) * 16 + instr('{_HEX}', substr(md5(w), 8, 1)) - 1) % 64)"
 
 
 def emb_sql(src, key, text):
@@ -261,7 +262,7 @@ def emb_sql(src, key, text):
       FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[a-z0-9_]+')) AS w FROM {src}) GROUP BY 1, 2))"""
 
 
-@query("embed_docs", _DOCS + f"SELECT doc_id, count(*) AS filled, round(max(x), 4) AS largest FROM {emb_sql('(SELECT * FROM docs)', 'doc_id', 'content')} GROUP BY doc_id")
+@query("embed_docs", _DOCS + f"SELECT doc_id, count(*) AS filled, round(CAST(CAST(max(x) AS FLOAT) AS DOUBLE), 4) AS largest FROM {emb_sql('(SELECT * FROM docs)', 'doc_id', 'content')} GROUP BY doc_id")
 def embed_docs(spark, d):
     e = models.embed_docs(_all_docs(spark, d).select("doc_id", "content"))
     filled = F.size(F.filter("embedding", lambda x: x > 0))

@@ -45,7 +45,7 @@ def list_embedders() -> list[tuple[str, str, int, bool]]:
 
 
 def hashed_embedder(dimensions: int = 64) -> Embedder:
-    """Unit vectors of word counts; a word's slot is its first MD5 byte modulo the dimensions."""
+    """Unit vectors of word counts; a word's slot is the first four bytes of its MD5 digest modulo the dimensions."""
     def embed(texts: pd.Series) -> list:
         slots: dict[str, int] = {}
         word = re.compile(r"[a-z0-9_]+")
@@ -55,7 +55,7 @@ def hashed_embedder(dimensions: int = 64) -> Embedder:
             for w in word.findall((text or "").lower()):
                 s = slots.get(w)
                 if s is None:
-                    s = slots[w] = hashlib.md5(w.encode()).digest()[0] % dimensions
+                    s = slots[w] = int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") % dimensions
                 idx.append(s)
             v = np.bincount(idx, minlength=dimensions).astype("float64") if idx else np.zeros(dimensions)
             norm = np.linalg.norm(v)

@@ -161,14 +161,21 @@ def shortcut_search(shortcut: str, queries: DataFrame, vectors: DataFrame, obs:
 
 
 def hybrid_list(rows: DataFrame, queries: DataFrame, vectors: DataFrame, doc_type: str, limit: int = 100,
-                embedder: models.Embedder | None = None) -> DataFrame:
+                embedder: models.Embedder | None = None, compat: bool = False) -> DataFrame:
     """(query_id, id, rank, via): newest semantic hits per query, or the project's recent rows when there are none.
 
-    Queries with an empty text go straight to the recent rows. The nearest 2*limit are taken over all projects first,
-    then the query's project filter applies, as the listing defines it.
+    Queries with an empty text go straight to the recent rows. The nearest 2*limit are taken among the vectors that the
+    query's project can see, and over all projects for a query that names none; with ``compat`` always over all projects,
+    before the project filter, as the product does.
     """
     asked = queries.filter(F.col("query") != "")
-    hits = vs.vector_search(asked, vectors, limit * 2, doc_type, embedder, by_project=False)
+    if compat:
+        hits = vs.vector_search(asked, vectors, limit * 2, doc_type, embedder, by_project=False)
+    else:
+        hits = vs.vector_search(asked.filter(F.col("project") != ""), vectors, limit * 2, doc_type, embedder, by_project=True)
+        anywhere = asked.filter(F.col("project") == "")
+        if not anywhere.isEmpty():
+            hits = hits.unionByName(vs.vector_search(anywhere, vectors, limit * 2, doc_type, embedder, by_project=False))
     ids = vs.ids_dedup(hits, vectors, queries).select("query_id", F.col("row_id").alias("id"))
     keys = rows.select("id", "project", "created_at_epoch", *(["importance_score"] if "importance_score" in rows.columns else []))
     semantic = durable(top_per_group(ids.join(keys.select("id", "created_at_epoch"), "id"), "query_id", order_columns("date_desc"), limit, "rank")
