@@ -57,17 +57,23 @@ def test_no_relation(obs_of):
     assert len(relation(obs_of, dict(files_modified=["a"]), dict(files_modified=["a"], project="other", scope="global"))) == 1
 
 
-def test_candidates_are_the_best_visible(obs_of):
+def test_candidates_are_the_best_that_were_there(obs_of):
     o = obs_of([dict(id=i, project="p" if i % 2 else "q", scope="global" if i % 5 == 0 else "project", importance_score=float(i % 7)) for i in range(60)])
     rows = {r.id: r for r in o.collect()}
     want = set()
     for n in rows.values():
-        vis = [r for r in rows.values() if r.scope == "global" or r.project == n.project]
+        vis = [r for r in rows.values() if (r.scope == "global" or r.project == n.project) and r.id < n.id]
         top = sorted(vis, key=lambda r: (-r.importance_score, -r.created_at_epoch, -r.id))[:10]
-        want |= {(n.id, r.id) for r in top if r.id < n.id}
+        want |= {(n.id, r.id) for r in top}
     assert {(r.n_id, r.o_id) for r in candidate_pairs(o, o, ["id"], ["id"], 10).collect()} == want
 
 
+def test_candidates_when_the_best_rows_are_newer(obs_of):
+    o = obs_of([dict(id=i, importance_score=float(i)) for i in range(30)])
+    got = {(r.n_id, r.o_id) for r in candidate_pairs(o, o, ["id"], ["id"], 5).collect()}
+    assert got == {(n, m) for n in range(30) for m in range(max(0, n - 5), n)}
+
+
 @pytest.mark.parametrize("newer,older,ctype", [
     (dict(narrative="Actually, that was wrong"), {}, "contradicts"), (dict(title="Correction: x"), {}, "contradicts"),
     (dict(title="added cache", files_modified=["a"]), dict(title="removed cache", files_modified=["a"]), "superseded"),
