@@ -13,7 +13,7 @@ from memspark import vocab
 from memspark.operators.ordering import order_columns, top_per_group, visible_top
 from memspark.session import broadcast_if_small, durable
 
-RANGES = 64  # parts of the time axis in which the best rows so far are followed
+RANGES = 32  # parts of the time axis in which the best rows so far are followed
 SMALL_PROJECTS = 4_000  # rows of at most 50 slim structs each, about 40 MB
 
 
@@ -135,14 +135,16 @@ def candidate_pairs(new: DataFrame, existing: DataFrame, new_fields: list[str],
     wanted = spans.select(F.col("o_id").alias("id")).distinct()
     rows = existing.join(wanted, "id", "left_semi")
     rows = (derive(rows) if derive else rows).select(*[F.col(c).alias(f"o_{c}") for c in fields])
-    spans = spans.join(rows, "o_id")
-    at = F.struct("n_created_at_epoch", "n_id")
-    newer = newer.withColumn("_range", _range_of(bounds) if not bounds else F.size(F.filter(
-        F.lit(bounds), lambda b: b < F.col("n_created_at_epoch"))))
-    met = newer.join(spans, (F.col("n_project") == F.col("viewer")) & (F.col("_range") == F.col("range"))
-                     & (F.col("from_time").isNull() | (F.struct("from_time", "from_id") < at))
-                     & (F.col("until_time").isNull() | (F.struct("until_time", "until_id") >= at)))
-    return met.select(*newer.drop("_range").columns, *rows.columns)
+    entry = F.struct(*rows.columns, "from_time", "from_id", "until_time", "until_id")
+    best = spans.join(rows, "o_id").groupBy("viewer", "range").agg(F.collect_list(entry).alias("best"))
+    best = broadcast_if_small(durable(best), SMALL_PROJECTS)
+    newer = newer.withColumn("_range", F.size(F.filter(F.lit(bounds), lambda b: b < F.col("n_created_at_epoch"))) if bounds else F.lit(0))
+    fan = newer.join(best, (F.col("n_project") == F.col("viewer")) & (F.col("_range") == F.col("range")))
+    fan = fan.select(*newer.drop("_range").columns, F.explode("best").alias("_o")).select(*newer.drop("_range").columns, "_o.*")
+    t, i = F.col("n_created_at_epoch"), F.col("n_id")
+    came = F.col("from_time").isNull() | (F.col("from_time") < t) | ((F.col("from_time") == t) & (F.col("from_id") < i))
+    stays = F.col("until_time").isNull() | (F.col("until_time") > t) | ((F.col("until_time") == t) & (F.col("until_id") >= i))
+    return fan.filter(came & stays).drop("from_time", "from_id", "until_time", "until_id")
 
 
 def file_overlap_pairs(pairs: DataFrame) -> DataFrame:
