@@ -173,14 +173,17 @@ def test_pattern_stream_promotes_once_and_forgets(spark, tmp_path, obs_of):
     cols = ["id", "project", "concepts", "title", "narrative", "created_at_epoch"]
     src = tmp_path / "in"
     schema = obs_of([dict(id=1)]).select(*cols).schema
-    batches = [[(1, 0)], [(2, 1000)], [(3, 2000)], [(4, 3 * week)]]
+    panic, leak = "Nil pointer panic", "Memory leak found"
+    batches = [[(1, 0, panic), (10, 0, leak)], [(2, 1000, panic)], [(3, 2000, panic)], [(4, 3 * week, panic), (11, 3 * week, leak)]]
     for rows in batches:
-        obs_of([dict(id=i, title="Nil pointer panic", created_at_epoch=t) for i, t in rows]).select(*cols).coalesce(1).write.mode("append").parquet(str(src))
+        obs_of([dict(id=i, title=title, created_at_epoch=t) for i, t, title in rows]).select(*cols).coalesce(1).write.mode("append").parquet(str(src))
         jobs.run_patterns(spark.readStream.schema(schema).parquet(str(src)), str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination()
-    out = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert [(r.name, r.frequency, r.first_observation_id) for r in out] == [("Nil pointer panic", 2, 1)]
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.batch, r.frequency) for r in written.collect()) == [(1, 2), (2, 3), (3, 4)]
+    assert [(r.name, r.frequency, r.first_observation_id) for r in jobs.latest_patterns(written).collect()] == [(panic, 4, 1)]
     last = spark.read.parquet(str(tmp_path / "state")).filter("batch = 3").collect()
-    assert [(r.frequency, r.promoted) for r in last] == [(1, False)]
+    # the pattern goes on; the candidate unseen for a week starts anew
+    assert sorted((r.frequency, r.promoted, r.first_id) for r in last) == [(1, False, 11), (4, True, 1)]
 
 
 def test_registry_is_consistent():
