@@ -490,6 +490,20 @@ def udf_cross_encoder(spark, d):
     return q.select("query_id", F.round(models.cross_encoder_column(models.shared_words_logit, F.col("query"), F.col("text")), 6).alias("logit"))
 
 
+_WORDS = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9_]+'))"
+
+
+@query("cross_encoder_documents", with_views("query_texts") + f""", q AS MATERIALIZED (SELECT query_id, query, row_number() OVER (ORDER BY query_id) - 1 AS no, count(*) OVER () AS n FROM query_texts_v),
+ p AS (SELECT d.doc_id, q.query_id, {_WORDS.format('q.query')} AS a, {_WORDS.format('d.text')} AS b FROM documents d JOIN q ON q.no = d.doc_id % q.n)
+ SELECT doc_id, query_id, round(CASE WHEN len(a) = 0 THEN -2e0 ELSE 4e0 * len(list_intersect(a, b)) / len(a) - 2e0 END, 6) AS logit FROM p""")
+def cross_encoder_documents(spark, d):
+    """Every document scored against a query; the queries take turns over the documents."""
+    q = od.with_positions(v.query_texts(spark, d).select("query_id", "query"), F.col("query_id"))
+    n = q.agg(F.count("*").alias("n")).scalar()
+    pairs = v.table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % n).alias("_pos")).join(q, "_pos")
+    return pairs.select("doc_id", "query_id", F.round(models.cross_encoder_column(models.shared_words_logit, F.col("query"), F.col("text")), 6).alias("logit"))
+
+
 @query("udf_extractor", "SELECT doc_id, 'discovery' AS type, md5(regexp_replace(replace(text, '<', ' '), '^\\s+|\\s+$', '', 'g')) AS digest FROM documents")
 def udf_extractor(spark, d):
     def wrap(texts):

@@ -195,3 +195,11 @@ def test_verifier_and_extractor(spark):
     d = spark.createDataFrame([(1, "a"), (2, "b")], "id long, title string")
     v = models.run_verifier(d, lambda pdf: pd.Series(["invalid now", "UNCERTAIN"])[: len(pdf)] if len(pdf) == 2 else pdf["id"].map({1: "invalid now", 2: "UNCERTAIN"}))
     assert {r.id: r.keep for r in v.collect()} == {1: False, 2: True}
+
+
+def test_cross_encoder_scores_every_document(spark, tmp_path):
+    import __spark_entry__ as e
+    spark.createDataFrame([(3, "alpha beta"), (8, "gamma")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, "gamma alpha") for i in range(10, 15)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.query_id, r.logit) for r in e.queries()["cross_encoder_documents"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(10, 15)) and {q for q, _ in got.values()} == {3, 8} and max(z for _, z in got.values()) > -2.0
