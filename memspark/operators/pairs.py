@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from bisect import insort
+from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memspark import vocab
 from memspark.operators.ordering import order_columns, top_per_group, visible_top
 from memspark.session import broadcast_if_small, durable
 
-RANGES = 32  # parts of the time axis in which the best rows so far are followed
+RANGES = 32  # parts of the time axis, at least, in which the best rows so far are followed
+RANGE_ROWS = 100_000  # rows of such a part; larger tables get more parts
+CELL = 2  # times the number of best rows: how many rows come in before the next cell of a part starts
+LAST_ID = 2**63 - 1
 SMALL_PROJECTS = 4_000  # rows of at most 50 slim structs each, about 40 MB
 
 
@@ -31,17 +37,41 @@ def best_visible(existing: DataFrame, fields: list[str], n: int = vocab.MAX_CAND
         "viewer", F.transform("e", lambda x: x["o"]).alias("best"))
 
 
-def _time_ranges(rows: DataFrame) -> list[int]:
-    """Ascending bounds that cut the rows' times into about RANGES equal parts."""
-    shares = [i / RANGES for i in range(1, RANGES)]
-    return sorted(set(rows.agg(F.percentile_approx("created_at_epoch", shares, 20 * RANGES)).first()[0] or []))
-
-
-def _range_of(bounds: list[int]) -> Column:
-    """How many bounds lie before a row's time."""
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.lit(bounds), lambda b: b < F.col("created_at_epoch")))
+def _time_ranges(rows: DataFrame) -> list[tuple[int, int]]:
+    """Ascending (time, id) bounds that cut the rows into about equal parts of at most RANGE_ROWS rows. Rows of one time are cut
+    by their ids where they fill several parts."""
+    parts = max(RANGES, -(-rows.count() // RANGE_ROWS))
+    shares = [i / parts for i in range(1, parts)]
+    found = Counter(rows.agg(F.percentile_approx("created_at_epoch", shares, 20 * parts)).first()[0] or [])
+    bounds = [(time, LAST_ID) for time in found]
+    often = {time: times for time, times in found.items() if times > 1}
+    if often:
+        most = max(often.values())
+        steps = [i / most for i in range(1, most)]
+        same = rows.filter(F.col("created_at_epoch").isin(list(often))).groupBy("created_at_epoch")
+        for time, ids in same.agg(F.percentile_approx("id", steps, 20 * most)).collect():
+            bounds += {(time, ids[max(1, most * i // often[time]) - 1]) for i in range(1, often[time])}
+    return sorted(bounds)
+
+
+def _range_of(bounds: list[tuple[int, int]], time: str, row: str) -> Column:
+    """How many bounds lie before a row's time and id."""
+    times = np.array([b[0] for b in bounds], dtype="int64")
+    within: dict[int, list[int]] = {}
+    for t, i in bounds:
+        if i != LAST_ID:
+            within.setdefault(t, []).append(i)
+
+    @F.pandas_udf("int")
+    def at(t: pd.Series, i: pd.Series) -> pd.Series:
+        t, i = t.to_numpy(), i.to_numpy()
+        out = np.searchsorted(times, t, side="left")
+        for same, ids in within.items():
+            hit = t == same
+            out[hit] += np.searchsorted(np.array(ids), i[hit], side="left")
+        return pd.Series(out)
+
+    return at(F.coalesce(time, F.lit(-LAST_ID)), F.col(row))  # rows without a time come first
 
 
 _KEYS = ["viewer", "range", "id", "importance_score", "created_at_epoch"]
@@ -49,69 +79,95 @@ _KEYS = ["viewer", "range", "id", "importance_score", "created_at_epoch"]
 
 def _bases(n: int):
     def bases(rows: pd.DataFrame) -> pd.DataFrame:
-        """The n best of all ranges before each range, from the n best of every range."""
-        held, parts, frames = rows.iloc[:0], dict(list(rows.groupby("range"))), []
-        for at in range(1, RANGES + 1):
-            held = pd.concat([held, parts[at - 1]]) if at - 1 in parts else held
-            held = held.sort_values(["importance_score", "created_at_epoch", "id"], ascending=False).head(n)
+        """The n best before each range that has rows, from the n best of every range."""
+        real = rows[rows["real"]]
+        held, parts, frames = real.iloc[:0], dict(list(real.groupby("range"))), []
+        for at in sorted(rows["range"].unique()):
             frames.append(held.assign(range=at))
-        return pd.concat(frames)[_KEYS] if frames else rows[_KEYS]
+            if at in parts:
+                held = parts[at] if held.empty else pd.concat([held, parts[at]])
+                held = held.sort_values(["importance_score", "created_at_epoch", "id"], ascending=False).head(n)
+        return pd.concat(frames)[_KEYS]
 
     return bases
 
 
 def _spans(n: int):
     def spans(rows: pd.DataFrame) -> pd.DataFrame:
-        """From when until when each row is among the n best so far, within one range of time.
+        """From when until when each row is among the n best so far, within one range of time, cut into cells.
 
-        A row comes in when it is created, and once n better ones are there it stays out.
+        A row comes in when it is created, and once n better ones are there it stays out. A cell ends when CELL * n rows came
+        in, so it never has more than (CELL + 1) * n spans, and all cells together have at most twice as many as rows came in,
+        and n more. A line without ``o_id`` is the start of a cell, which holds later rows only.
         """
         held: list[tuple] = []  # ascending by importance, time, id
         since: dict[int, tuple] = {}
-        out = []
+        out, cell, came = [], 0, 0
         order = rows.sort_values(["base", "created_at_epoch", "id"], ascending=[False, True, True])
         for base, score, time, row in zip(order["base"], order["importance_score"], order["created_at_epoch"], order["id"], strict=True):
+            if len(held) == n and (score, time, row) < held[0]:
+                continue
+            if came == CELL * n:
+                out += [(r, *start, None, None, cell) for r, start in since.items()]
+                cell, came = cell + 1, 0
+                out.append((None, time, row, None, None, cell))
             insort(held, (score, time, row))
             since[row] = (None, None) if base else (time, row)
+            came += not base
             if len(held) > n:
                 gone = held.pop(0)[2]
-                start = since.pop(gone)
-                if start != (time, row) and not base:
-                    out.append((gone, *start, time, row))
-        out += [(row, *start, None, None) for row, start in since.items()]
-        frame = pd.DataFrame(out, columns=["o_id", "from_time", "from_id", "until_time", "until_id"]).astype("Int64")
-        return frame.assign(viewer=rows["viewer"].iloc[0], range=int(rows["range"].iloc[0])) if len(rows) else frame
+                out.append((gone, *since.pop(gone), time, row, cell))
+        out += [(row, *start, None, None, cell) for row, start in since.items()]
+        names = ["o_id", "from_time", "from_id", "until_time", "until_id", "cell"]
+        frame = pd.DataFrame(out, columns=names, dtype=object).astype("Int64")
+        return frame.assign(viewer=rows["viewer"].iloc[0], range=int(rows["range"].iloc[0]))
 
     return spans
 
 
-def best_so_far(existing: DataFrame, n: int, projects: DataFrame, bounds: list[int]) -> DataFrame:
-    """(viewer, range, o_id, from_*, until_*): the spans in which each row is among the n best rows that its viewer could see so
-    far, cut at the time ranges.
+def best_so_far(existing: DataFrame, n: int, wanted: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
+    """(viewer, range, cell, o_id, from_*, until_*): the spans in which each row is among the n best rows that its viewer could
+    see so far, cut at the time ranges and cells, and the starts of the cells. ``wanted``: (viewer, range) of the rows that ask.
 
     The n best of the ranges before are merged per viewer, n rows per range; each range is then run through by itself, so a
-    large project is split over as many tasks as there are ranges. Global rows are reduced to those that were ever among the n
-    best global ones before every viewer gets them.
+    large project is split over as many tasks as there are ranges, whose number grows with the table. Global rows are reduced
+    to those that were ever among the n best global ones before every viewer gets them.
     """
     score = F.coalesce("importance_score", F.lit(1.0)).alias("importance_score")
     scope = F.coalesce("scope", F.lit("project"))
-    keys = durable(existing.select("project", scope.alias("scope"), _range_of(bounds).alias("range"), "id", score, "created_at_epoch"))
+    at = _range_of(bounds, "created_at_epoch", "id").alias("range")
+    keys = durable(existing.select("project", scope.alias("scope"), at, "id", score, "created_at_epoch"))
 
-    def run(rows: DataFrame) -> DataFrame:
+    def run(rows: DataFrame, asked: DataFrame | None = None) -> DataFrame:
         best = top_per_group(rows, ["viewer", "range"], order_columns("importance"), n, "_r").select(*_KEYS)
-        kinds = rows.select(*_KEYS).schema
+        kinds = best.schema
+        best = best.withColumn("real", F.lit(True))
+        if asked is not None:
+            best = best.unionByName(asked.select("viewer", "range", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("importance_score"),
+                                                 F.lit(0).cast("long").alias("created_at_epoch"), F.lit(False).alias("real")))
         bases = best.groupBy("viewer").applyInPandas(_bases(n), kinds)
         both = bases.withColumn("base", F.lit(True)).unionByName(rows.select(*_KEYS).withColumn("base", F.lit(False)))
         return durable(both.groupBy("viewer", "range").applyInPandas(
-            _spans(n), "o_id long, from_time long, from_id long, until_time long, until_id long, viewer string, range int"))
+            _spans(n), "o_id long, from_time long, from_id long, until_time long, until_id long, cell long, viewer string, range int"))
 
     shared = keys.filter(F.col("scope") == "global").withColumn("viewer", F.lit(""))
-    ever = run(shared).select(F.col("o_id").alias("id")).distinct()
-    viewers = projects.select(F.col("project").alias("viewer")).distinct()
+    ever = run(shared).filter(F.col("o_id").isNotNull()).select(F.col("o_id").alias("id")).distinct()
+    viewers = wanted.select("viewer").distinct()
     own = keys.filter(F.col("scope") == "project").withColumn("viewer", F.col("project")).join(viewers, "viewer", "left_semi")
     seen = keys.join(ever, "id", "left_semi").filter(F.col("scope") == "global").withColumn("_all", F.lit(1)).join(
         viewers.withColumn("_all", F.lit(1)), "_all")  # about n * log(rows) global rows for every project
-    return run(own.select(*_KEYS).unionByName(seen.select(*_KEYS)))
+    return run(own.select(*_KEYS).unionByName(seen.select(*_KEYS)), wanted)
+
+
+def _with_cells(newer: DataFrame, spans: DataFrame) -> DataFrame:
+    """New rows with the cell of their project and range that holds their time: the last one that started before them."""
+    starts = spans.filter(F.col("o_id").isNull()).select(
+        F.col("viewer").alias("n_project"), F.col("range").alias("_range"), F.col("from_time").alias("n_created_at_epoch"),
+        F.col("from_id").alias("n_id"), F.col("cell").alias("_start"))
+    rows = newer.unionByName(starts, allowMissingColumns=True)
+    order = W.partitionBy("n_project", "_range").orderBy("n_created_at_epoch", "n_id", F.col("_start").isNotNull())
+    before = F.last("_start", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return rows.withColumn("_cell", F.coalesce(before, F.lit(0))).filter(F.col("_start").isNull()).drop("_start")
 
 
 def candidate_pairs(new: DataFrame, existing: DataFrame, new_fields: list[str], old_fields: list[str],
@@ -121,7 +177,8 @@ def candidate_pairs(new: DataFrame, existing: DataFrame, new_fields: list[str],
 
     The bound belongs to the semantics: a new row is compared with the 50 most important rows that its project can see.
     With ``older_only`` these are the best of the rows created before it, as when rows arrive one by one, so that one batch
-    over a whole table can stand for row-by-row arrival; otherwise the best of the whole table. Work is linear in the new rows.
+    over a whole table can stand for row-by-row arrival; otherwise the best of the whole table. Work is linear in the new rows:
+    each meets the spans of its cell, of which there are at most (CELL + 1) times ``max_candidates``.
     """
     newer = new.select(*[F.col(c).alias(f"n_{c}") for c in dict.fromkeys([*new_fields, "id", "created_at_epoch", "project"])])
     fields = list(dict.fromkeys([*old_fields, "id", "created_at_epoch"]))
@@ -130,21 +187,21 @@ def candidate_pairs(new: DataFrame, existing: DataFrame, new_fields: list[str],
         best = broadcast_if_small(durable(best), SMALL_PROJECTS)
         fan = newer.join(best, newer["n_project"] == best["viewer"]).withColumn("_o", F.explode("best"))
         return fan.select(*newer.columns, "_o.*").filter(F.col("n_id") != F.col("o_id"))
-    bounds = _time_ranges(existing)
-    spans = best_so_far(existing, max_candidates, new.select("project").distinct(), bounds)
-    wanted = spans.select(F.col("o_id").alias("id")).distinct()
-    rows = existing.join(wanted, "id", "left_semi")
+    times = ["created_at_epoch", "id"]
+    bounds = _time_ranges(existing.select(*times).unionByName(new.select(*times)))
+    newer = newer.withColumn("_range", _range_of(bounds, "n_created_at_epoch", "n_id"))
+    asked = durable(newer.select(F.col("n_project").alias("viewer"), F.col("_range").alias("range")).filter(
+        F.col("viewer").isNotNull()).distinct())
+    spans = best_so_far(existing, max_candidates, asked, bounds)
+    rows = existing.join(spans.select(F.col("o_id").alias("id")).distinct(), "id", "left_semi")
     rows = (derive(rows) if derive else rows).select(*[F.col(c).alias(f"o_{c}") for c in fields])
-    entry = F.struct(*rows.columns, "from_time", "from_id", "until_time", "until_id")
-    best = spans.join(rows, "o_id").groupBy("viewer", "range").agg(F.collect_list(entry).alias("best"))
-    best = broadcast_if_small(durable(best), SMALL_PROJECTS)
-    newer = newer.withColumn("_range", F.size(F.filter(F.lit(bounds), lambda b: b < F.col("n_created_at_epoch"))) if bounds else F.lit(0))
-    fan = newer.join(best, (F.col("n_project") == F.col("viewer")) & (F.col("_range") == F.col("range")))
-    fan = fan.select(*newer.drop("_range").columns, F.explode("best").alias("_o")).select(*newer.drop("_range").columns, "_o.*")
+    best = spans.join(rows, "o_id")
+    fan = _with_cells(newer, spans).join(best, (F.col("n_project") == F.col("viewer")) & (F.col("_range") == F.col("range"))
+                                         & (F.col("_cell") == F.col("cell")))
     t, i = F.col("n_created_at_epoch"), F.col("n_id")
     came = F.col("from_time").isNull() | (F.col("from_time") < t) | ((F.col("from_time") == t) & (F.col("from_id") < i))
     stays = F.col("until_time").isNull() | (F.col("until_time") > t) | ((F.col("until_time") == t) & (F.col("until_id") >= i))
-    return fan.filter(came & stays).drop("from_time", "from_id", "until_time", "until_id")
+    return fan.filter(came & stays).select(*newer.drop("_range").columns, *rows.columns)
 
 
 def file_overlap_pairs(pairs: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from memspark.operators import conflicts as cf, patterns as pt, relations as rl, scoring as sc
+from memspark.operators import conflicts as cf, pairs as pr, patterns as pt, relations as rl, scoring as sc
 from memspark.operators.pairs import candidate_pairs
 
 NOW = 1736942400000  # 2025-01-15T12:00Z
@@ -114,3 +114,20 @@ def test_cascade_and_staleness(spark, obs_of):
     assert [[r[0] for r in out[k].collect()] for k in ("observations", "vectors", "relations", "conflicts")] == [[2], ["d2"], [2], []]
     cur = spark.createDataFrame([("a", 7)], "path string, mtime long")
     assert {r.id: r.is_stale for r in cf.mtime_staleness(o, cur).collect()} == {1: True, 2: False}
+
+
+def test_cells_stay_small_when_scores_are_tied(spark, obs_of):
+    o = obs_of([dict(id=i, project="p" if i % 4 else "q", created_at_epoch=i // 50 if i < 2000 else 40) for i in range(4000)])
+    n, times = 5, ["created_at_epoch", "id"]
+    bounds = pr._time_ranges(o.select(*times))
+    where = o.select(F.col("project").alias("viewer"), pr._range_of(bounds, *times).alias("range"))
+    assert where.groupBy("range").count().agg(F.max("count")).first()[0] < 400  # half of the rows have one time
+    spans = pr.best_so_far(o, n, where.distinct(), bounds).filter("o_id IS NOT NULL")
+    assert spans.groupBy("viewer", "range", "cell").count().agg(F.max("count")).first()[0] <= 3 * n
+    assert spans.count() < 2 * 4000 + 2 * n * len(bounds) + 2 * n
+    pairs = pr.candidate_pairs(o, o, ["id"], ["id"], n)
+    assert "collect_list" not in pairs._jdf.queryExecution().toString()
+    want = set()
+    for part in ([i for i in range(4000) if i % 4], range(0, 4000, 4)):
+        want |= {(row, older) for k, row in enumerate(part) for older in part[max(0, k - n):k]}
+    assert {(r.n_id, r.o_id) for r in pairs.collect()} == want
