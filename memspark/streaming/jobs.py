@@ -133,16 +133,9 @@ def _merged(rows: DataFrame, keys: list[str]) -> DataFrame:
             F.col("f.type").alias("type"), F.col("f.title").alias("title"), F.col("f.signature").alias("signature"), "promoted")
 
 
-def run_patterns(observations: DataFrame, out: str, state: str, checkpoint: str, min_frequency: int = 2,
-                 forget_ms: int = 7 * 24 * 3600 * 1000, once: bool = True) -> StreamingQuery:
-    """Count candidate patterns; one becomes a pattern when it reaches ``min_frequency``.
-
-    A candidate that is not seen again within ``forget_ms`` starts anew; a pattern is never forgotten, nor promoted twice, and
-    its frequency goes on. Every batch writes the patterns that it changed, with their frequencies so far; the last row of a
-    key holds (``latest_patterns``). Rows that arrive in the order of their times give the same patterns in any batches.
-    Sightings of known patterns are summed before they meet the state; only other candidates' sightings are ordered per key.
-    """
-    spark = observations.sparkSession
+def pattern_step(spark: SparkSession, out: str, state: str, min_frequency: int = 2,
+                 forget_ms: int = 7 * 24 * 3600 * 1000) -> Callable[[DataFrame, int], None]:
+    """What ``run_patterns`` does with each batch."""
     table = StateTable(spark, state, CANDIDATES)
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -170,6 +163,19 @@ def run_patterns(observations: DataFrame, out: str, state: str, checkpoint: str,
         live = F.col("promoted") | (F.col("last_seen") >= newest - forget_ms)
         table.write(everything.filter(live), batch_id)
 
+    return run
+
+
+def run_patterns(observations: DataFrame, out: str, state: str, checkpoint: str, min_frequency: int = 2,
+                 forget_ms: int = 7 * 24 * 3600 * 1000, once: bool = True) -> StreamingQuery:
+    """Count candidate patterns; one becomes a pattern when it reaches ``min_frequency``.
+
+    A candidate that is not seen again within ``forget_ms`` starts anew; a pattern is never forgotten, nor promoted twice, and
+    its frequency goes on. Every batch writes the patterns that it changed, with their frequencies so far; the last row of a
+    key holds (``latest_patterns``). Rows that arrive in the order of their times give the same patterns in any batches.
+    Sightings of known patterns are summed before they meet the state; only other candidates' sightings are ordered per key.
+    """
+    run = pattern_step(observations.sparkSession, out, state, min_frequency, forget_ms)
     return each_batch(observations, run, checkpoint, once=once)
 
 
@@ -184,29 +190,58 @@ STORE = "id long, sdk_session_id string, project string, scope string, type stri
         "created_at_epoch long, importance_score double, is_superseded boolean"
 
 
+CONFLICTS = "newer_obs_id long, older_obs_id long, conflict_type string, resolution string, reason string, detected_at_epoch long, " \
+            "resolved boolean, resolved_at_epoch long"
+RELATIONS = "source_id long, target_id long, relation_type string, confidence double, detection_source string, reason string"
+VECTORS = "doc_id string, embedding array<float>, row_id long, doc_type string, field_type string, project string, scope string, " \
+          "model_version string"
+MEMORY = {"observations": STORE, "conflicts": CONFLICTS, "relations": RELATIONS, "vectors": VECTORS}
+
+
 def run_memory(observations: DataFrame, root: str, checkpoint: str, keep: int = vocab.KEEP_OBSERVATIONS_PER_PROJECT,
                embedder=None, once: bool = True) -> StreamingQuery:
     """Everything that follows new observations, per micro-batch: near-duplicates out, conflicts and supersession,
-    relations, vectors, and retention of the newest rows per project. Writes tables below ``root``."""
+    relations, patterns, vectors, and retention of the newest rows per project with all that refers to the expired ones.
+
+    The tables of ``MEMORY`` are whole after each batch, one version per batch below ``root``; retention bounds them.
+    ``patterns`` has the rows changed by each batch (``latest_patterns``); patterns outlive their observations. A conflict is
+    detected when its newer observation arrives, so that a replay gives the same time.
+    """
     spark = observations.sparkSession
-    store = StateTable(spark, f"{root}/observations", STORE)
+    tables = {name: StateTable(spark, f"{root}/{name}", schema) for name, schema in MEMORY.items()}
+    patterns = pattern_step(spark, f"{root}/patterns", f"{root}/candidates")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        old = store.before(batch_id)
-        new = batch.select(*old.columns)
-        fresh = durable(sm.ingest_dedup(new, old, "sdk_session_id"))
-        everything = durable(old.unionByName(fresh))
-        conflicts = durable(cf.new_conflicts(cf.detect_conflicts(cf.conflict_pairs(fresh, everything)), 0))
-        write_batch(conflicts, f"{root}/conflicts", batch_id)
-        write_batch(rl.detect_relations(rl.relation_pairs(fresh, everything)), f"{root}/relations", batch_id)
-        write_batch(vs.rebuild_vectors(vs.observation_docs(fresh), None, embedder, full=True), f"{root}/vectors", batch_id)
-        marked = durable(cf.mark_superseded(everything, conflicts).select(*old.columns))
-        expired = keep_latest(marked, keep, "project").select("id")
-        store.write(cf.without(marked, expired, "id"), batch_id)
+        old = {name: table.before(batch_id) for name, table in tables.items()}
+        new = batch.select(*old["observations"].columns)
+        fresh = durable(sm.ingest_dedup(new, old["observations"], "sdk_session_id"))
+        everything = durable(old["observations"].unionByName(fresh))
+        found = cf.new_conflicts(cf.detect_conflicts(cf.conflict_pairs(fresh, everything)), 0)
+        times = fresh.select(F.col("id").alias("newer_obs_id"), F.col("created_at_epoch").alias("detected_at_epoch"))
+        conflicts = durable(found.drop("detected_at_epoch").join(times, "newer_obs_id"))
+        relations = rl.detect_relations(rl.relation_pairs(fresh, everything))
+        patterns(fresh, batch_id)
+        marked = cf.mark_superseded(everything, conflicts).select(*everything.columns)
+        expired = durable(keep_latest(everything, keep, "project").select("id"))
+        vectors = vs.rebuild_vectors(vs.observation_docs(cf.without(fresh, expired, "id")), None, embedder, full=True)
+        left = cf.cascade_delete(expired, marked, old["vectors"].unionByName(vectors), old["relations"].unionByName(relations),
+                                 old["conflicts"].unionByName(conflicts))
+        for name, table in tables.items():
+            table.write(left[name].select(*old[name].columns), batch_id)
 
     return each_batch(observations, run, checkpoint, once=once)
 
 
+def latest_memory(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables that ``run_memory`` left after its last batch, and the patterns."""
+    last = spark.read.parquet(f"{root}/observations").agg(F.max("batch")).first()[0]
+    last = -1 if last is None else last
+    out = {name: StateTable(spark, f"{root}/{name}", schema).before(last + 1) for name, schema in MEMORY.items()}
+    if last >= 0:
+        out["patterns"] = latest_patterns(spark.read.parquet(f"{root}/patterns"))
+    return out
+
+
 def run_rescore(root: str, spark: SparkSession, now_ms: int, version: int) -> DataFrame:
     """One rescoring pass over a stored table, written as a new version; run it from an outside scheduler."""
     from memspark.operators.scoring import apply_scores, rescore_batch

@@ -203,3 +203,23 @@ def test_cross_encoder_scores_every_document(spark, tmp_path):
     spark.createDataFrame([(i, "gamma alpha") for i in range(10, 15)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: (r.query_id, r.logit) for r in e.queries()["cross_encoder_documents"](spark, str(tmp_path)).collect()}
     assert set(got) == set(range(10, 15)) and {q for q, _ in got.values()} == {3, 8} and max(z for _, z in got.values()) > -2.0
+
+
+def test_memory_stream_cascades_and_finds_patterns(spark, tmp_path, obs_of):
+    cols = [c.split()[0] for c in jobs.STORE.split(", ")]
+    src, root = str(tmp_path / "in"), str(tmp_path / "root")
+    schema = obs_of([dict(id=1)]).select(*cols).schema
+    first = [dict(id=1, title="Nil pointer panic", narrative="parser broke while reading empty yaml documents", files_modified=["a"], created_at_epoch=1000),
+             dict(id=2, title="Cache", narrative="Actually, that was wrong about eviction thresholds", files_modified=["a"], created_at_epoch=2000)]
+    second = [dict(id=3, title="Nil pointer panic", narrative="websocket handler crashed during shutdown handshake sequence", files_modified=["a"], created_at_epoch=3000)]
+    for rows in (first, second):
+        obs_of(rows).select(*cols).coalesce(1).write.mode("append").parquet(src)
+        jobs.run_memory(spark.readStream.schema(schema).parquet(src), root, str(tmp_path / "cp"), keep=2).awaitTermination()
+        t = {k: df.collect() for k, df in jobs.latest_memory(spark, root).items()}
+        if rows is first:
+            assert [(r.newer_obs_id, r.older_obs_id, r.detected_at_epoch) for r in t["conflicts"]] == [(2, 1, 2000)]
+            assert {r.row_id for r in t["vectors"]} == {1, 2} and (2, 1) in {(r.source_id, r.target_id) for r in t["relations"]}
+    assert sorted(r.id for r in t["observations"]) == [2, 3] and {r.row_id for r in t["vectors"]} == {2, 3}
+    assert {(r.source_id, r.target_id) for r in t["relations"]} == {(3, 2)}
+    assert not [r for r in t["conflicts"] if 1 in (r.newer_obs_id, r.older_obs_id)]
+    assert [(r.name, r.frequency, r.first_observation_id) for r in t["patterns"]] == [("Nil pointer panic", 2, 1)]
