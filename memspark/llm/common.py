@@ -20,14 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A path in the shared checkpoint folder that nothing else uses."""
+    return f"{checkpoint_root(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Delete what was written to ``path`` when the driver's file system closes."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back, so that later jobs neither recompute it nor
     depend on executors that may be lost. The folder goes when the driver's file system closes."""
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    path = shared_path(spark, "stored")
     df.write.parquet(path)
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

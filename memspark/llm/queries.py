@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import common, cross_polytope, fingerprints, jaccard, langid, main_text, mixing, packing, sharding, token_counts, toxicity
+from memspark.llm import common, cross_polytope, fingerprints, jaccard, langid, main_text, mixing, packing, sharding, token_counts, toxicity, warc
 
 Q: dict = {}
 SQL: dict = {}
@@ -133,3 +133,21 @@ def op9_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), "doc_id", "text", packing.default_vocabulary())
+
+
+@query
+def op11_salvage_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.through_archives(pages, "page_id", "url", "html").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op11_salvage_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, body, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS hex,
+             min(page_id) OVER (PARTITION BY body) AS first FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (1 + ((('0x' || substr(hex, (5 * (i // 4) + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31))::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM d"""
