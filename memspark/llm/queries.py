@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import common, cross_polytope, fingerprints, jaccard, langid, main_text, mixing, packing, sharding, token_counts, toxicity, warc
+from memspark.llm import common, cross_polytope, dual_tree, fingerprints, jaccard, langid, main_text, mixing, packing, sharding, token_counts, toxicity, warc
 
 Q: dict = {}
 SQL: dict = {}
@@ -151,3 +151,32 @@ SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda
        CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id > first THEN first END AS refers_to
 FROM d"""
+
+
+@query
+def op13_dual_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.compress(common.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """Lloyd's rounds as a chain of common table expressions, for vectors whose length is a multiple of eight."""
+    steps = ["""kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v,
+  row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             """comp AS (SELECT vec_id, place, p, i, v[p * (len(v) // 8) + i + 1] AS x
+  FROM kept, range(8) a(p), range((SELECT max(len(v)) // 8 FROM kept)) b(i))""",
+             "c0 AS (SELECT p, place AS e, i, x AS y FROM comp WHERE place < 16)"]
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS (SELECT vec_id, p, min(d * 16 + e) AS best FROM (SELECT vec_id, p, e, sum((x - y) * (x - y))::BIGINT AS d
+  FROM comp JOIN c{k} USING (p, i) GROUP BY ALL) GROUP BY ALL)""")
+        if k < rounds:
+            steps.append(f"""c{k + 1} AS (SELECT p, e, i, coalesce(z, y) AS y FROM c{k} LEFT JOIN (SELECT p, best % 16 AS e, i,
+  floor(sum(x)::DOUBLE / count(*))::BIGINT AS z FROM comp JOIN a{k} USING (vec_id, p) GROUP BY ALL) USING (p, e, i))""")
+    return "WITH " + ",\n".join(steps) + f""",
+r AS (SELECT vec_id, string_agg(printf('%02x', best % 16), '' ORDER BY p) AS code, sum(best // 16)::BIGINT AS error FROM a{rounds} GROUP BY 1),
+h AS (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM r JOIN kept USING (vec_id), h"""
+
+
+SQL["op13_dual_tree_codes"] = _codes_sql()
