@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import common, cross_polytope, dual_tree, fingerprints, jaccard, langid, main_text, mixing, packing, sharding, token_counts, toxicity, warc
+from memspark.llm import alignment, common, cross_polytope, dual_tree, fingerprints, jaccard, langid, main_text, mixing, packing, sharding, token_counts, toxicity, warc
 
 Q: dict = {}
 SQL: dict = {}
@@ -153,6 +153,14 @@ SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda
 FROM d"""
 
 
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(common.table(spark, sf_dir, "documents"), "doc_id", "text",
+                           public_tokenizers.path("byte_bpe_50k.json"), piece_vocabulary())
+
+
 @query
 def op13_dual_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dual_tree.compress(common.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
