@@ -20,14 +20,12 @@ from pyspark.sql.window import Window
 from memspark.llm import common
 from memspark.llm.wordbag import _folded, distinct_words, prefix_sums, span_hashes
 
-#: Documents per language that the fit reads, by smallest hash of their key.
-MOST_DOCUMENTS = 400
-#: Rounds of expectation maximisation; pseudo-count of every piece; longest piece and longest fitted word in bytes.
-ROUNDS, SMOOTHING, LONGEST, LONGEST_FITTED = 3, 0.1, 16, 64
+#: Rounds of expectation maximisation; pseudo-count of every piece; longer words are fitted in parts of so many bytes.
+ROUNDS, SMOOTHING, FITTED_BYTES = 3, 0.1, 64
 #: Probability of a character that is no piece, in every language.
 UNKNOWN = 1e-7
-#: Words of more bytes are scored one by one.
-LONG_WORD = 256
+#: Where so few words of a batch go on, they are finished one after the other.
+FEW = 8
 SLOTS = 1 << 20
 
 
@@ -48,11 +46,12 @@ class Pieces:
                 continue
             raw = _folded(np.frombuffer(rest.encode(), np.uint8)).tobytes()
             texts.add((b" " if rest != piece else b"") + raw)
-        self.texts = sorted(t for t in texts if 0 < len(t) <= LONGEST)
+        self.texts = sorted(t for t in texts if t)
         self.index = {t: i for i, t in enumerate(self.texts)}
         data = np.frombuffer(b"".join(self.texts), np.uint8)
         end = np.cumsum([len(t) for t in self.texts])
         self.lengths = sorted({len(t) for t in self.texts})
+        self.longest = max(self.lengths[-1], 4)  # a character has four bytes at most
         hashes = span_hashes(prefix_sums(data), np.concatenate([[0], end[:-1]]), end)
         self.hashes, order = np.sort(hashes), np.argsort(hashes)
         self.ids = order
@@ -105,20 +104,17 @@ def log_likelihoods(data: np.ndarray, offsets: np.ndarray, pieces: Pieces, proba
     out = np.zeros((len(offsets) - 1, probabilities.shape[1]))
     padded = np.vstack([probabilities, np.zeros((1, probabilities.shape[1]))])  # the last row is for -1, no piece
     text, start, n, order = _with_starts(data, offsets)
-    long_words = int(np.searchsorted(-n, -LONG_WORD))
-    for i in range(long_words):
-        out[order[i]] = _forward_one(text[start[i]:start[i] + n[i]].tobytes(), pieces, probabilities)
-    for c in range(long_words, len(order), chunk):
+    for c in range(0, len(order), chunk):
         s, m = start[c:c + chunk], n[c:c + chunk]
         lo, hi = s[0], s[-1] + m[-1]
         out[order[c:c + chunk]] = _forward(text[lo:hi], s - lo, m, pieces, padded)
     return out
 
 
-def _forward_one(word: bytes, pieces: Pieces, p: np.ndarray) -> np.ndarray:
-    """The same for one long word, position by position."""
-    window, logs = [np.ones(p.shape[1])], np.zeros(p.shape[1])
-    for j in range(1, len(word) + 1):
+def _finish(word: bytes, at: int, window: list[np.ndarray], logs: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
+    """Log of the sum for one word from byte ``at`` on; ``window`` has the sums at the places up to there, divided by the
+    exponential of ``logs``."""
+    for j in range(at + 1, len(word) + 1):
         now = np.zeros(p.shape[1])
         for length in pieces.lengths:
             if length > j:
@@ -134,7 +130,7 @@ def _forward_one(word: bytes, pieces: Pieces, p: np.ndarray) -> np.ndarray:
         if now.max() > 0 and j % 4 == 0:
             scale = now.max()
             now, window, logs = now / scale, [x / scale for x in window], logs + np.log(scale)
-        window = [*window[-LONGEST:], now]
+        window = [*window[-pieces.longest:], now]
     return np.log(np.maximum(window[-1], 1e-300)) + logs
 
 
@@ -143,12 +139,18 @@ def _forward(text: np.ndarray, start: np.ndarray, n: np.ndarray, pieces: Pieces,
     total = prefix_sums(text)
     tail = (text & 0xC0) == 0x80  # bytes inside a character
     alive = np.searchsorted(-n, -np.arange(n[0] + 2), side="right")  # words of at least so many bytes
-    window = np.zeros((LONGEST + 1, len(n), p.shape[1]))
+    width = pieces.longest + 1
+    window = np.zeros((width, len(n), p.shape[1]))
     window[0] = 1.0
     logs, result = np.zeros((len(n), 1)), np.zeros((len(n), p.shape[1]))
     for j in range(1, n[0] + 1):
         k = alive[j]
         s = start[:k]
+        if k <= FEW:
+            for i in range(k):
+                before = [window[x % width, i] for x in range(max(0, j - width), j)]
+                result[i] = _finish(text[s[i]:s[i] + n[i]].tobytes(), j - 1, before, logs[i], pieces, p)
+            break
         now = np.zeros((k, p.shape[1]))
         for length in pieces.lengths:
             if length > j:
@@ -156,7 +158,7 @@ def _forward(text: np.ndarray, start: np.ndarray, n: np.ndarray, pieces: Pieces,
             found = pieces.find(span_hashes(total, s + j - length, s + j))
             hit = np.flatnonzero(found >= 0)
             if len(hit):
-                now[hit] += window[(j - length) % (LONGEST + 1), hit] * p[found[hit]]
+                now[hit] += window[(j - length) % width, hit] * p[found[hit]]
         whole = np.ones(k, bool)  # does a character end here?
         more = alive[j + 1] if j + 1 < len(alive) else 0
         whole[:more] = ~tail[start[:more] + j]
@@ -165,24 +167,49 @@ def _forward(text: np.ndarray, start: np.ndarray, n: np.ndarray, pieces: Pieces,
             for b in range(1, size):
                 first &= tail[s + j - b]
             at = np.flatnonzero(first & whole)
-            now[at] += window[(j - size) % (LONGEST + 1), at] * UNKNOWN
+            now[at] += window[(j - size) % width, at] * UNKNOWN
         if j % 4 == 0:
             scale = now.max(1, keepdims=True)
             scale[scale == 0] = 1
             now /= scale
             window[:, :k] /= scale
             logs[:k] += np.log(scale)
-        window[j % (LONGEST + 1), :k] = now
+        window[j % width, :k] = now
         done = slice(more, k)
         result[done] = np.log(np.maximum(now[done], 1e-300)) + logs[done]
     return result
 
 
+def _parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, word of every part): words cut into parts of FITTED_BYTES or a little more, between characters."""
+    bounds, owner = [0], []
+    for i, (start, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        while end - start > FITTED_BYTES + 3:
+            start += FITTED_BYTES
+            while data[start] & 0xC0 == 0x80 and start < end - 1:
+                start += 1
+            bounds.append(start)
+            owner.append(i)
+        bounds.append(end)
+        owner.append(i)
+    return np.array(bounds, np.int64), np.array(owner, np.int64)
+
+
 def expected_counts(data: np.ndarray, offsets: np.ndarray, weight: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
-    """Expected number of uses of every piece over all segmentations of the weighted words, for one language."""
+    """Expected number of uses of every piece over all segmentations of the weighted words, for one language. Characters that
+    are no piece count as in the forward sums."""
     counts = np.zeros(len(pieces) + 1)
     text, start, n, order = _with_starts(data, offsets)
+    tail = np.append((text & 0xC0) == 0x80, False)  # bytes inside a character
     p = np.append(p, 0.0)
+
+    def unknown(s: np.ndarray, j: int, size: int) -> np.ndarray:
+        """Words whose bytes j - size to j are one character."""
+        whole = ~tail[s + j - size] & ~tail[s + j]
+        for b in range(1, size):
+            whole &= tail[s + j - b]
+        return np.flatnonzero(whole)
+
     for c in range(0, len(order), 4000):
         s, m, w = start[c:c + 4000], n[c:c + 4000], weight[order[c:c + 4000]]
         total, longest = prefix_sums(text), int(m[0])
@@ -199,13 +226,15 @@ def expected_counts(data: np.ndarray, offsets: np.ndarray, weight: np.ndarray, p
                 forward[j, hit] += forward[j - length, hit] * p[found[hit]]
                 edges.append((j, length, hit, found[hit]))
             for size in range(1, min(4, j) + 1):
-                forward[j, :k] += forward[j - size, :k] * UNKNOWN
+                hit = unknown(s[:k], j, size)
+                forward[j, hit] += forward[j - size, hit] * UNKNOWN
         backward = np.zeros((longest + 1, len(m)))
         backward[m, np.arange(len(m))] = 1
         at = len(edges)
         for j in range(longest, 0, -1):
             for size in range(1, min(4, j) + 1):
-                backward[j - size] += backward[j] * UNKNOWN
+                hit = unknown(s[:int(np.searchsorted(-m, -j, side="right"))], j, size)
+                backward[j - size, hit] += backward[j, hit] * UNKNOWN
             while at and edges[at - 1][0] == j:
                 at -= 1
                 _, length, hit, found = edges[at]
@@ -224,14 +253,14 @@ class Model:
     vocabulary: str
 
 
-def fit(df: DataFrame, key: str, text: str, lang: str, vocabulary: str, learn: Column) -> Model:
-    """Fit on at most MOST_DOCUMENTS rows per language among those for which ``learn``, a condition on the key, holds and that
-    have a language and a text."""
+def fit(df: DataFrame, key: str, text: str, lang: str, vocabulary: str, learn: Column, most_documents: int = 400) -> Model:
+    """Fit on at most ``most_documents`` rows per language (by smallest hash of their key) among those for which ``learn``, a
+    condition on the key, holds and that have a language and a text."""
     rows = df.where(learn & F.col(key).isNotNull() & F.col(lang).isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
     ids = rows.select(F.col(key).alias("key"), F.col(lang).alias("lang")).distinct().withColumn(
-        "place", F.row_number().over(order)).where(F.col("place") <= MOST_DOCUMENTS).drop("place")
-    ids = common.stored(ids)  # MOST_DOCUMENTS rows per language
+        "place", F.row_number().over(order)).where(F.col("place") <= most_documents).drop("place")
+    ids = common.stored(ids)  # most_documents rows per language
     texts = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where("text is not null")
     sample = texts.join(F.broadcast(ids), "key").select("lang", "text")
 
@@ -247,8 +276,7 @@ def fit(df: DataFrame, key: str, text: str, lang: str, vocabulary: str, learn: C
                 [pa.array([names[i] for i in pairs // len(offsets)], pa.string()),
                  words.take(pa.array(pairs % len(offsets))).cast(pa.binary()), pa.array(counts)], ["lang", "word", "n"])
 
-    words = common.stored(sample.mapInArrow(split, "lang string, word binary, n long").where(
-        F.octet_length("word") <= LONGEST_FITTED).groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(
+    words = common.stored(sample.mapInArrow(split, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(
         common.shuffle_partitions(df.sparkSession)))
     languages = sorted(r[0] for r in words.select("lang").distinct().collect())
     size = len(pieces_of(vocabulary))
@@ -259,8 +287,9 @@ def fit(df: DataFrame, key: str, text: str, lang: str, vocabulary: str, learn: C
             for frame in frames:
                 for name, part in frame.groupby("lang"):
                     raw = part["word"].tolist()
-                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-                    c = expected_counts(np.frombuffer(b"".join(raw), np.uint8), offsets, part["n"].to_numpy(float), pieces,
+                    data = np.frombuffer(b"".join(raw), np.uint8)
+                    offsets, word = _parts(data, np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64))
+                    c = expected_counts(data, offsets, part["n"].to_numpy(float)[word], pieces,
                                         p[:, languages.index(name)])
                     used = np.flatnonzero(c > 0)
                     yield pd.DataFrame({"lang": name, "piece": used, "n": np.round(c[used] * 1e6).astype(np.int64)})
@@ -274,28 +303,38 @@ def fit(df: DataFrame, key: str, text: str, lang: str, vocabulary: str, learn: C
     return Model(languages, p, vocabulary)
 
 
-def predict(model: Model, text: Column) -> Column:
-    """struct(lang, score): the likeliest language and its posterior probability under equal priors; ties go to the first by
-    name. A null text, a text without a letter, or a model without languages gives ``und`` and 0."""
-    @F.pandas_udf("lang string, score double")
+def predict(model: Model, text: Column, with_background: bool = False) -> Column:
+    """struct(lang, score, evidence): the likeliest language and its posterior probability under equal priors; ties go to the
+    first by name. ``evidence`` is how far the text's log-likelihood under that language exceeds the one under a background in
+    which all pieces are equally probable (null if not asked for). A null text, a text without a letter, or a model without
+    languages gives ``und`` and 0."""
+    known_languages = len(model.languages)
+
+    @F.pandas_udf("lang string, score double, evidence double")
     def predicted(texts: pd.Series) -> pd.DataFrame:
-        names, scores = [], []
+        names, scores, evidence = [], [], []
         pieces = pieces_of(model.vocabulary)
+        probabilities = model.probabilities
+        if with_background:
+            probabilities = np.column_stack([probabilities, np.full(len(pieces), 1 / len(pieces))])
         column = pa.array(texts, pa.string())
         for batch in common.slices([pa.RecordBatch.from_arrays([column], ["t"])], 0, 8 << 20):
             data, offsets, word, n = distinct_words(batch.column(0))
             if not model.languages or not len(word):
-                logs = np.zeros((len(n), max(1, len(model.languages))))
+                logs = np.zeros((len(n), known_languages + with_background or 1))
             else:
-                per_word = log_likelihoods(data, offsets, pieces, model.probabilities)
+                per_word = log_likelihoods(data, offsets, pieces, probabilities)
                 row = np.repeat(np.arange(len(n)), n)
                 logs = np.stack([np.bincount(row, per_word[word, k], len(n)) for k in range(per_word.shape[1])], 1)
+            background, logs = logs[:, -1], logs[:, :known_languages or 1]
             best = logs.argmax(1)
+            more = logs.max(1) - background
             score = 1 / np.exp(np.maximum(logs - logs.max(1, keepdims=True), -700)).sum(1)
             for i, t in enumerate(batch.column(0).to_pylist()):
                 known = bool(model.languages) and n[i] > 0 and any(c.isalpha() for c in t)
                 names.append(model.languages[best[i]] if known else "und")
                 scores.append(float(score[i]) if known else 0.0)
-        return pd.DataFrame({"lang": names, "score": scores})
+                evidence.append(float(more[i]) if known and with_background else None)
+        return pd.DataFrame({"lang": names, "score": scores, "evidence": pd.Series(evidence, dtype=float)})
 
     return predicted(text)

@@ -24,9 +24,13 @@ from memspark.llm import common
 
 #: Pieces of one length are ranked in this many hash groups, so that a common length is not one task.
 SALTS = 64
+#: Texts of so many bytes are encoded together; one longer text is encoded alone.
+SLICE_BYTES = 2 << 20
 #: Byte values that count as white space to the vocabulary's splitting pattern, and lead bytes of white space beyond ASCII.
 ASCII_SPACE = (9, 10, 11, 12, 13, 28, 29, 30, 31, 32)
 WIDE_SPACE_LEADS = (0xC2, 0xE1, 0xE2, 0xE3)
+#: The special token of the default vocabulary: its string in a text is one id.
+SPECIAL = {b"<|endoftext|>": 50256}
 _encoders: dict = {}
 
 
@@ -53,9 +57,10 @@ def _byte_sets() -> tuple[np.ndarray, np.ndarray]:
     return white, lead
 
 
-def _encode_distinct(chunks: pa.Array, encode, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _encode_distinct(chunks: pa.Array, encode, widths: np.ndarray, special: dict[bytes, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all chunks in a row, ids per chunk). Chunks that begin with a cut and end before one are encoded joined, as
-    the pattern cuts between them again; their ids are told apart by bytes. The others are encoded one by one."""
+    the pattern cuts between them again; their ids are told apart by bytes. The others are encoded one by one. Chunks in
+    ``special`` have the one id that it gives them."""
     white, lead = _byte_sets()
     offsets = np.frombuffer(chunks.buffers()[1], np.int64)[chunks.offset:chunks.offset + len(chunks) + 1]
     data = np.frombuffer(chunks.buffers()[2] or b"", np.uint8)
@@ -68,7 +73,8 @@ def _encode_distinct(chunks: pa.Array, encode, widths: np.ndarray) -> tuple[np.n
     sizes = np.zeros(len(chunks), np.int64)
     alone = {}
     for i in np.flatnonzero(~joined).tolist():
-        alone[i] = encode(data[start[i]:end[i]].tobytes().decode())
+        raw = data[start[i]:end[i]].tobytes()
+        alone[i] = [special[raw]] if special and raw in special else encode(raw.decode())
         sizes[i] = len(alone[i])
     one = np.flatnonzero(joined)
     picked = chunks.take(pa.array(one))
@@ -100,19 +106,35 @@ def chunk_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut[:-1])
 
 
-def encode_texts(texts: pa.Array, vocabulary: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts in a row, number of ids of each text). Equal chunks of a batch are encoded once."""
+def _marker_bounds(data: np.ndarray, special: dict[bytes, int]) -> np.ndarray:
+    """Starts and ends of special tokens' strings in the bytes of all texts; text bounds fall inside none of them."""
+    raw, out = data.tobytes(), []
+    for marker in special:
+        at = raw.find(marker)
+        while at >= 0:
+            out += [at, at + len(marker)]
+            at = raw.find(marker, at + len(marker))
+    return np.array(out, np.int64)
+
+
+def encode_texts(texts: pa.Array, vocabulary: str, end_id: int | None, special: dict[bytes, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts in a row, number of ids of each text). Equal chunks of a batch are encoded once. The strings in
+    ``special`` become one id each wherever they occur, and what is between them is encoded by itself."""
     encode, widths = _encoder(vocabulary)
     texts = pc.fill_null(texts, "").cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
     offsets = offsets - offsets[0]
-    starts = chunk_starts(data, np.unique(offsets[:-1][offsets[:-1] < offsets[-1]]))
+    known = offsets[:-1][offsets[:-1] < offsets[-1]]
+    if special:
+        bounds = _marker_bounds(data, special)
+        known = np.concatenate([known, bounds[bounds < len(data)]])
+    starts = chunk_starts(data, np.unique(known))
     ends = np.append(starts[1:], len(data))
     chunk_offsets = np.append(starts, len(data)).astype(np.int64)
     chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(chunk_offsets), pa.py_buffer(data.tobytes())])
     coded = chunks.dictionary_encode()
-    flat, sizes = _encode_distinct(coded.dictionary, encode, widths)
+    flat, sizes = _encode_distinct(coded.dictionary, encode, widths, special)
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else np.zeros(0, np.int64)
     which = coded.indices.to_numpy()
     lengths = sizes[which]
@@ -129,14 +151,14 @@ def encode_texts(texts: pa.Array, vocabulary: str, end_id: int | None) -> tuple[
     return out, n + 1
 
 
-def token_pieces(df: DataFrame, key: str, text: str, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
+def token_pieces(df: DataFrame, key: str, text: str, vocabulary: str, capacity: int, end_id: int, special: dict[bytes, int]) -> DataFrame:
     """(key, text_crc, piece, start, length, ids_crc32): each text's ids and the end id, cut into pieces of ``capacity``;
     the first piece takes the remainder. A null text counts as empty."""
     key_type = df.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, 1, 24 << 20):
-            ids, n = encode_texts(batch.column(1), vocabulary, end_id)
+        for batch in common.slices(batches, 1, SLICE_BYTES):
+            ids, n = encode_texts(batch.column(1), vocabulary, end_id, special)
             raw = ids.astype("<u4").view(np.uint8)
             pieces = -(-n // capacity)
             first = n - (pieces - 1) * capacity
@@ -205,16 +227,18 @@ def plan_bins(counts: list[int], capacity: int) -> tuple[list[tuple[int, int, in
         bins += times
 
 
-def pack(df: DataFrame, key: str, text: str, vocabulary: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
+def pack(df: DataFrame, key: str, text: str, vocabulary: str, capacity: int = 1024, end_id: int = 2,
+         special: dict[bytes, int] = SPECIAL) -> DataFrame:
     """Pack every row into bins of ``capacity`` tokens.
 
     Returns per piece: ``key``, piece, start, length, ids_crc32, sequence_id (from 0), offset. Null and empty texts are one
     end token. Repeated rows and rows with a null key are packed as rows of their own. An empty table gives no rows. Other
-    columns are not read. ``vocabulary`` is the path of a byte-pair rank file that every executor can read.
+    columns are not read. ``vocabulary`` is the path of a byte-pair rank file that every executor can read, ``special`` has the
+    ids of its special tokens' strings, which a rank file does not list.
     """
     spark = df.sparkSession
     salt = F.pmod(F.xxhash64("key", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")
-    pieces = common.stored(token_pieces(df, key, text, vocabulary, capacity, end_id).withColumn("salt", salt))
+    pieces = common.stored(token_pieces(df, key, text, vocabulary, capacity, end_id, special).withColumn("salt", salt))
     groups = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     heads = common.stored(groups.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))))

@@ -18,9 +18,8 @@ from memspark.llm import common
 from memspark.llm.shingles import SEPARATORS, text_bytes
 from memspark.llm.wordbag import prefix_sums, span_hashes
 
-LONGEST = 16
-#: Pre-tokens of more bytes are scored one by one.
-LONG_WORD = 256
+#: Where so few pre-tokens go on, each has left the shared part of the trie and is finished on its own.
+FEW = 8
 #: Added to a piece's rank before the logarithm (Zipf's law); score of each byte of a character that is no piece.
 RANK_OFFSET, BYTE_SCORE = 2.7, -30.0
 
@@ -38,7 +37,7 @@ class Scores:
             if model.is_control(i) or model.is_unknown(i) or model.is_byte(i):
                 continue
             piece = model.id_to_piece(i).replace("▁", " ").encode()
-            if 0 < len(piece) <= LONGEST:
+            if piece:
                 score.setdefault(piece, -float(np.log(rank + RANK_OFFSET)))
             rank += 1
         self.score = score
@@ -48,6 +47,7 @@ class Scores:
         order = np.argsort(hashes)
         self.hashes, self.values = hashes[order], np.array([score[p] for p in pieces])[order]
         self.lengths = sorted({len(p) for p in pieces})
+        self.longest = max(self.lengths[-1], 4)  # a character has four bytes at most
         bits = np.uint64(64 - 20)
         self.bits, self.first = bits, np.searchsorted(self.hashes >> bits, np.arange((1 << 20) + 1, dtype=np.uint64))
 
@@ -75,25 +75,24 @@ def scores_of(path: str) -> Scores:
     return _scores[path]
 
 
-def long_count(word: bytes, scores: Scores) -> int:
-    """Token count of one pre-token, position by position."""
-    best, count = [0.0], [0]
-    for j in range(1, len(word) + 1):
+def finish(word: bytes, at: int, best: list[float], count: list[int], scores: Scores) -> int:
+    """Token count of one pre-token from byte ``at`` on; ``best`` and ``count`` hold the best scores and their numbers of
+    tokens at the places up to there."""
+    for j in range(at + 1, len(word) + 1):
         top, n = -np.inf, 0
         for length in scores.lengths:
             if length > j:
                 break
             value = scores.score.get(word[j - length:j])
-            if value is not None and best[j - length] + value > top:
-                top, n = best[j - length] + value, count[j - length] + 1
+            if value is not None and best[-length] + value > top:
+                top, n = best[-length] + value, count[-length] + 1
         if j == len(word) or word[j] & 0xC0 != 0x80:
             size = 1
             while size < min(4, j) and word[j - size] & 0xC0 == 0x80:
                 size += 1
-            if best[j - size] + size * BYTE_SCORE > top:
-                top, n = best[j - size] + size * BYTE_SCORE, count[j - size] + size
-        best.append(top)
-        count.append(n)
+            if best[-size] + size * BYTE_SCORE > top:
+                top, n = best[-size] + size * BYTE_SCORE, count[-size] + size
+        best, count = [*best[-scores.longest:], top], [*count[-scores.longest:], n]
     return count[-1]
 
 
@@ -103,13 +102,19 @@ def trie_counts(text: np.ndarray, start: np.ndarray, length: np.ndarray, scores:
     if not len(start):
         return out
     total, tail = prefix_sums(text), (text & 0xC0) == 0x80
-    width = LONGEST + 1
+    width = scores.longest + 1
     node = np.zeros((width, len(start)), np.int64)  # of every pre-token, per level
-    best: list[np.ndarray] = [np.zeros(1)] + [np.zeros(0)] * LONGEST
-    count: list[np.ndarray] = [np.zeros(1, np.int64)] + [np.zeros(0, np.int64)] * LONGEST
+    best: list[np.ndarray] = [np.zeros(1)] + [np.zeros(0)] * scores.longest
+    count: list[np.ndarray] = [np.zeros(1, np.int64)] + [np.zeros(0, np.int64)] * scores.longest
     active = np.arange(len(start))
     for level in range(1, int(length.max()) + 1):
         active = active[length[active] >= level]
+        if len(active) <= FEW:
+            for i in active.tolist():
+                at = [(x % width, node[x % width, i]) for x in range(max(0, level - width), level)]
+                out[i] = finish(text[start[i]:start[i] + length[i]].tobytes(), level - 1, [float(best[x][y]) for x, y in at],
+                                [int(count[x][y]) for x, y in at], scores)
+            break
         parent, byte = node[(level - 1) % width, active], text[start[active] + level - 1]
         fresh = np.ones(len(active), bool)
         fresh[1:] = (parent[1:] != parent[:-1]) | (byte[1:] != byte[:-1])
@@ -168,11 +173,7 @@ def count_tokens(texts: pa.Array, scores: Scores) -> tuple[np.ndarray, np.ndarra
     text = np.full(len(raw) + len(words), 32, np.uint8)
     at = np.cumsum(length) - length
     text[np.arange(len(raw)) + np.repeat(np.arange(1, len(words) + 1), length - 1)] = raw
-    counts = np.zeros(len(words), np.int64)
-    short = length <= LONG_WORD
-    counts[short] = trie_counts(text, at[short], length[short], scores)
-    for i in np.flatnonzero(~short):
-        counts[i] = long_count(text[at[i]:at[i] + length[i]].tobytes(), scores)
+    counts = trie_counts(text, at, length, scores)
     of_word = np.empty(len(words), np.int64)
     of_word[order.to_numpy()] = counts
     rows = np.repeat(np.arange(len(per_text)), per_text)

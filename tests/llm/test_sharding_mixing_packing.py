@@ -117,15 +117,17 @@ def test_mix_edges(spark):
 
 
 TEXTS = [None, "", " ", "a  b", " lead", "tail ", "it's  a\t b\n\nc ", "x\x85y  z 　 q", "é è à ö", "日本 語", "<|endoftext|>",
-         "The quick brown fox " * 300, "1234 5678", "a\x1c b", "emoji 😀 here", "x" * 3000]
+         "The quick brown fox " * 300, "1234 5678", "a\x1c b", "emoji 😀 here", "x" * 3000,
+         "one doc <|endoftext|> next doc", "<|endoftext|><|endoftext|>", "a<|endoftext|>b  <|endoftext|>  c <|endoftext", "x\n<|endoftext|>\n"]
 
 
 def test_ids_equal_the_public_tokenizer():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    ids, n = packing.encode_texts(pa.array(TEXTS, pa.string()), packing.default_vocabulary(), None)
-    want = [t.encode(x or "", add_special_tokens=False).ids for x in TEXTS]
-    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    for special in (packing.SPECIAL, None):
+        t.encode_special_tokens = special is None
+        ids, n = packing.encode_texts(pa.array(TEXTS, pa.string()), packing.default_vocabulary(), None, special)
+        want = [t.encode(x or "", add_special_tokens=False).ids for x in TEXTS]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
 def test_pack_is_whole_and_gapless(spark):
@@ -133,7 +135,6 @@ def test_pack_is_whole_and_gapless(spark):
     df = spark.createDataFrame([(k, t, 1, 2) for k, t in rows], "id long, text string, length int, salt int")
     got = packing.pack(df, "id", "text", packing.default_vocabulary(), capacity=64).collect()
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = collections.Counter()
     for k, text in rows:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]

@@ -93,8 +93,9 @@ def test_forward_sums_all_segmentations(monkeypatch):
     p = np.random.default_rng(0).random((len(pieces), 2))
     p /= p.sum(0)
     text = "the zzqxj straße ÉCOLE a internationalization 日本語 ûñí " + "abc" * 30
-    for limit in (langid.LONG_WORD, 20):
-        monkeypatch.setattr(langid, "LONG_WORD", limit)
+    assert pieces.longest > 16  # no piece is left out
+    for few in (0, langid.FEW, 1000):
+        monkeypatch.setattr(langid, "FEW", few)
         data, offsets, _, _ = wordbag.distinct_words(pa.array([text]))
         got = langid.log_likelihoods(data, offsets, pieces, p, chunk=3)
         for i in range(len(offsets) - 1):
@@ -109,6 +110,30 @@ def test_expected_counts_are_consistent():
     assert sum(len(t) * x for t, x in zip(pieces.texts, c, strict=True)) == pytest.approx(12, rel=1e-3)  # every byte in one piece
 
 
+def test_long_words_are_fitted_in_parts(spark):
+    data = np.frombuffer(("ab" * 40 + "é" * 100 + "x").encode(), np.uint8)
+    offsets, word = langid._parts(data, np.array([0, 80, 280, 281]))
+    assert offsets[0] == 0 and offsets[-1] == 281 and {80, 280} <= set(offsets.tolist()) and word.tolist() == [0, 0, 1, 1, 1, 1, 2]
+    assert all(data[i] & 0xC0 != 0x80 for i in offsets[:-1]) and max(np.diff(offsets)) <= langid.FITTED_BYTES + 3
+    r = random.Random(7)
+    rows = [(i, "".join(r.choice("日本語東京都市中" if i % 2 else "가나다라마바사아") for _ in range(200)), "ja" if i % 2 else "ko") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string, lang string").repartition(2)
+    model = langid.fit(df, "id", "text", "lang", VOCABULARY, F.col("id") % 4 < 2)
+    got = df.select("lang", langid.predict(model, F.col("text")).alias("p")).collect()
+    assert all(r["lang"] == r["p"]["lang"] for r in got)
+
+
+def test_background_tells_noise_from_language(spark):
+    rows = [(i, t, "aa") for i, t in enumerate(words_of(["the", "ing", "ou", "st"], 1, 60))]
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    model = langid.fit(df, "id", "text", "lang", VOCABULARY, F.lit(True))
+    r = random.Random(5)
+    noise = [" ".join("".join(r.choice("qxzjkvwç") for _ in range(7)) for _ in range(20)), " ".join(words_of(["sch", "ung", "ei", "keit"], 2, 3))]
+    new = spark.createDataFrame([(t,) for t in noise + words_of(["the", "ing", "ou", "st"], 9, 30) + ["the unkown"]], "text string")
+    got = [r[0]["evidence"] for r in new.select(langid.predict(model, F.col("text"), with_background=True)).collect()]
+    assert max(got[:2]) < -10 and min(got[2:]) > -10
+
+
 def words_of(syllables, seed, n):
     r = random.Random(seed)
     return [" ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 3))) for _ in range(r.randint(5, 60))) for _ in range(n)]
@@ -169,19 +194,41 @@ def test_token_counts(spark):
     got = {r["id"]: (r["n_tokens"], r["n_pretokens"]) for r in token_counts.with_token_counts(df, "text", VOCABULARY).collect()}
     for i, t in enumerate(texts):
         words = [b" " + w.encode() for w in (t or "").split()]
-        assert got[i] == (sum(token_counts.long_count(w, scores) for w in words), len(words))
-
-
-def test_best_score_is_found():
+        assert got[i] == (sum(best_count(w, scores) for w in words), len(words)), t
+
+
+def best_count(word, scores):
+    """Tokens of the best segmentation, by a table over all pieces that end at a place; the shortest of equally good ones first."""
+    table = [(0.0, 0)]
+    for j in range(1, len(word) + 1):
+        top = (-math.inf, 0)
+        for i in range(j - 1, -1, -1):
+            piece = word[i:j]
+            if piece in scores.score and table[i][0] + scores.score[piece] > top[0]:
+                top = (table[i][0] + scores.score[piece], table[i][1] + 1)
+        for i in range(j - 1, max(-1, j - 5), -1):  # a character that is no piece
+            try:
+                one = len(word[i:j].decode()) == 1
+            except UnicodeDecodeError:
+                one = False
+            if one and table[i][0] + (j - i) * token_counts.BYTE_SCORE > top[0]:
+                top = (table[i][0] + (j - i) * token_counts.BYTE_SCORE, table[i][1] + j - i)
+        table.append(top)
+    return table[-1][1]
+
+
+def test_token_counts_of_long_pre_tokens(monkeypatch):
     scores = token_counts.scores_of(VOCABULARY)
-
-    def best(word):
-        table = [(0.0, 0)]
-        for j in range(1, len(word) + 1):
-            options = [(table[i][0] + scores.score[word[i:j]], table[i][1] + 1) for i in range(j) if word[i:j] in scores.score]
-            options.append((table[j - 1][0] + token_counts.BYTE_SCORE, table[j - 1][1] + 1))
-            table.append(max(options, key=lambda x: x[0]))
-        return table[-1][1]
-
-    for w in ("international", "thequickbrown", "qqqzzz", "reconsideration"):
-        assert token_counts.long_count(b" " + w.encode(), scores) == best(b" " + w.encode())
+    assert scores.longest > 16  # no piece is left out
+    r = random.Random(3)
+    long = ["".join(r.choice(["international", "日本", "é", "qz", "ной", "1"]) for _ in range(60)) for _ in range(12)]
+    texts = [" ".join([*long[:6], long[0] + "x"]), *long[6:], "thequickbrown qqqzzz reconsideration"]
+    want = [sum(best_count(b" " + w.encode(), scores) for w in t.split()) for t in texts]
+    for few in (0, token_counts.FEW, 1000):
+        monkeypatch.setattr(token_counts, "FEW", few)
+        assert token_counts.count_tokens(pa.array(texts), scores)[0].tolist() == want
+
+
+def test_token_counts_of_no_rows(spark):
+    df = spark.createDataFrame([], "id int, text string, n_tokens int")
+    assert token_counts.with_token_counts(df, "text", VOCABULARY).collect() == []
