@@ -79,6 +79,8 @@ class _Page:
         self.block(["h3", "p"], 1, 8, False)
         self.block(["p", "div"], 1, 12, False)
         self.html.append('<input type="text">')
+        if self.r.random() < 0.3:
+            self.block(["textarea"], 1, 12, False)
         if self.r.random() < 0.7:
             self.block(["button"], 1, 2, False)
         self.html.append(end)
@@ -104,7 +106,7 @@ class _Page:
         elif kind == "sidebar":
             self.r.choice([self.prose, self.links, self.bare])(SIDEBAR, ["aside", "aside", "div", "section"])
         elif kind == "notice":
-            self.r.choice([self.prose, self.bare])(NOTICE, ["div", "section", "p", "aside"])
+            self.r.choice([self.prose, self.bare])(NOTICE, ["div", "section", "p", "aside", "noscript"])
         elif kind == "advert":
             self.r.choice([self.prose, self.bare, self.bare])(ADVERT, ["div", "aside", "section", "p"])
         elif kind == "share":

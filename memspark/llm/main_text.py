@@ -16,16 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memspark.llm.dom import Block, blocks
+from memspark.llm.dom import Block, Element, blocks
 from memspark.llm.labelled_pages import labelled_pages
 
 #: Labelled pages that a fit uses, steps, and weight decay.
 PAGES, STEPS, DECAY = 1000, 200, 2e-4
 
 
-LANDMARKS = ("article", "main", "nav", "aside", "footer", "header", "form", "section")
-
-
 @dataclass
 class Field:
     weights: dict[str, float]  # of a feature, for main text
@@ -33,15 +30,45 @@ class Field:
     change: tuple[tuple[float, float], tuple[float, float]]
 
 
-def context_features(around: tuple) -> list[str]:
+def _own_features(e: Element) -> list[str]:
+    """What an element adds to the features of the elements around it."""
+    return [f"in:{e.tag}"] * e.fresh_tag + [f"name:{x}" for x in e.fresh_marks]
+
+
+def _last_features(e: Element | None) -> list[str]:
+    """What only the innermost elements tell."""
+    own, nearest, near = (e.own, e.nearest, e.near) if e else ("-", "-", ())
+    return [f"own:{own}", f"nearest:{nearest}", *[f"near:{x}" for x in near]]
+
+
+def context_features(around: Element | None) -> list[str]:
     """Of the elements around a block."""
-    inner = [(t, m) for t, m in around if t not in ("html", "body")]
-    tags = [t for t, _ in inner]
-    out = [f"own:{tags[-1] if tags else '-'}"]
-    out += [f"in:{t}" for t in dict.fromkeys(tags)]
-    out += [f"name:{x}" for x in dict.fromkeys(x for _, m in inner for x in m)]
-    out.append(f"nearest:{next((t for t in reversed(tags) if t in LANDMARKS), '-')}")
-    return out + [f"near:{x}" for x in next((m for _, m in reversed(inner) if m), ())]
+    out, e = _last_features(around), around
+    while e:
+        out += _own_features(e)
+        e = e.parent
+    return out
+
+
+class _ContextWeights:
+    """Summed weights of the elements around blocks, once per element."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights, self.chain, self.whole = weights, {None: 0.0}, {}
+
+    def _of(self, features: list[str]) -> float:
+        return sum(self.weights.get(f, 0.0) for f in features)
+
+    def __call__(self, around: Element | None) -> float:
+        if around not in self.whole:
+            path, e = [], around
+            while e not in self.chain:
+                path.append(e)
+                e = e.parent
+            for inner in reversed(path):
+                self.chain[inner] = self.chain[inner.parent] + self._of(_own_features(inner))
+            self.whole[around] = self.chain[around] + self._of(_last_features(around))
+        return self.whole[around]
 
 
 def text_features(b: Block) -> list[str]:
@@ -119,11 +146,9 @@ def decode(field: Field, found: list[Block]) -> list[bool]:
     (c00, c01), (c10, c11) = field.change
     back = []
     zero, one = field.start
-    context: dict[tuple, float] = {}
+    context = _ContextWeights(field.weights)
     for i, b in enumerate(found):
-        if b.around not in context:
-            context[b.around] = sum(field.weights.get(f, 0.0) for f in context_features(b.around))
-        e = context[b.around] + sum(field.weights.get(f, 0.0) for f in text_features(b))
+        e = context(b.around) + sum(field.weights.get(f, 0.0) for f in text_features(b))
         if i:
             from0, from1 = zero + c01, one + c11
             stay, leave = zero + c00, one + c10

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -68,6 +69,50 @@ def test_broken_pages(spark, field):
     assert main_text.extract(df.limit(0), "html", field).collect() == []
 
 
+def test_shown_text_stays(field):
+    page = ("<article><h1>A title of the page</h1><p>Let <math><mi>x</mi>=<mn>2</mn></math> be given, and see <svg><text>the figure</text></svg> here "
+            "for more words.<!--> not a comment <!---> nor this <!-- but this --!> and on.</p><noscript>y</noscript></article>")
+    assert [b.text for b in dom.blocks(page)] == [
+        "A title of the page", "Let x=2 be given, and see the figure here for more words. not a comment nor this and on.", "y"]
+    assert main_text.main_text(page, field).split("\n")[1].startswith("Let x=2 be given")
+    raw = dom.blocks("a<textarea><b> &amp; c</textarea>d<xmp>&lt;<i></xmp><template>t</template><title>n</title>")
+    assert [b.text for b in raw] == ["a", "<b> & c", "d", "&lt;<i>"] and [b.around and b.around.tag for b in raw] == [None, "textarea", None, "xmp"]
+
+
+HAND_WRITTEN = [  # pages of other make, with the blocks that are main text
+    ("""<body class="single-post"><div id="top"><a href="/">Daily Paper</a><ul class="nav"><li><a href="/w">World</a><li><a href="/s">Sport</a></ul></div>
+     <div id="main"><h1>River floods the old town</h1><div class="entry-content"><p>After three days of rain the river left its bed on Monday night.
+     <p>Many families had to leave their homes, and the bridge stays closed for now.<div class="advertisement">Cheap flights, book today</div>
+     <p>The mayor promised help for all who lost their belongings in the water.</div></div>
+     <div class="sidebar widget"><h3>Popular</h3><ul><li><a href="/1">Ten recipes</a></ul></div><div id="footer">Copyright 2020 Daily Paper</div>""",
+     ["River floods the old town", "After three days", "Many families", "The mayor promised"]),
+    ("""<table><tr><td class="menu"><a href=a>Home</a><br><a href=b>Links</a></td><td><div class=content><h2>My garden in spring</h2><p>The first
+     tulips came out last week, and the bees are back as well.</p><ul><li>Water the beds in the evening, when the sun is down.</li></ul></div></td></tr></table>
+     <form class="search"><p>Search this site</p><textarea>words</textarea></form>""",
+     ["My garden in spring", "The first tulips", "Water the beds"]),
+    ("""<main><article><header><h1>How to sharpen a knife</h1></header><p>Use a stone with two sides and keep it wet while you work on the blade.</p>
+     <aside class="related">You may also like these</aside><blockquote>A dull knife is more dangerous than a sharp one.</blockquote></article>
+     <section id="comments"><h2>Replies</h2><div class="comment"><p>Thanks, this helped me a lot with my old knives.</p></div></section></main>""",
+     ["How to sharpen a knife", "Use a stone", "A dull knife"])]
+
+
+def test_pages_of_other_make(field):
+    right = total = 0
+    for page, main in HAND_WRITTEN:
+        found = dom.blocks(page)
+        for b, keep in zip(found, main_text.decode(field, found), strict=True):
+            right, total = right + (keep == any(b.text.startswith(m) for m in main)), total + 1
+    assert right / total >= 0.85, (right, total)
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 50_000, "<div>" * 30_000 + "<i>x</i>" * 30_000, "<p><table>" + "<div>y" * 40_000,
+                                  "<ul><li>z" * 20_000, "".join(f"<t{i}>a" for i in range(20_000)), "<p>q</b>" * 40_000])
+def test_deep_pages_take_linear_time(field, page):
+    began = time.process_time()
+    assert main_text.main_text(page, field) is not None
+    assert time.process_time() - began < 8
+
+
 def segmentations(word, pieces, p):
     """Sum over all segmentations, by recursion on characters."""
     index, memo = pieces.index, {len(word): 1.0}
