@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-A hash table applies a pseudo-random rotation (three rounds of random signs and a fast Hadamard transform) to the unit
-vectors and assigns each to the nearest signed axis. A query probes the axes nearest to it in every table. The vectors that
-fall on a probed axis are its candidates; they are ranked by the exact inner product in double precision.
+A hash table applies pseudo-random rotations (three rounds of random signs and a fast Hadamard transform) to the unit vectors
+and takes two polytopes one after the other: the nearest signed axis of a rotation, and the nearest among the first few signed axes
+of another. How many these are grows with the square root of the table, so that buckets get smaller as it grows. A query
+probes the pairs of axes nearest to it in every table. The vectors in probed buckets are its candidates; they are ranked by the
+exact inner product in double precision. Queries that find too few candidates probe more, in the end every bucket.
 """
 
 from __future__ import annotations
@@ -18,6 +20,10 @@ from pyspark.sql.window import Window
 
 from memspark.llm import common
 
+#: Hash tables, and buckets that a query probes in each.
+TABLES, PROBES = 24, 48
+#: Rows whose probes are computed at a time.
+PROBE_ROWS = 512
 #: Vectors of a bucket that one task compares with the queries probing it.
 BUCKET_ROWS = 4096
 #: Queries that one task holds for a bucket.
@@ -59,74 +65,103 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else values.reshape(0, 1)
 
 
-def _dealt(df: DataFrame, tables: int, probes: int, seed: int) -> DataFrame:
-    """(id, vector) once per table and probed axis, with the table and the axis. All vectors have one length."""
+def last_axes(n: int, d: int) -> int:
+    """Axes of a table's second polytope for ``n`` vectors of ``d`` components."""
+    most = max(0, int(d - 1).bit_length())
+    return 1 << min(most, max(0, round(float(np.log2(max(1.0, np.sqrt(n) / 7))))))
+
+
+def probed(x: np.ndarray, table: int, last: int, probes: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first axis, second axis) of the ``probes`` nearest buckets of every row in a table, nearest first. A bucket is as far as
+    the squares of the gaps between its axes' coordinates and the largest ones."""
+    one, two = axis_scores(x, 2 * table, seed), axis_scores(x, 2 * table + 1, seed)
+    half = two.shape[1] // 2
+    two = np.concatenate([two[:, :last], two[:, half:half + last]], axis=1)
+    if probes == 1:
+        return np.arange(len(x)), one.argmax(1), two.argmax(1)
+    best = [np.argsort(-y, axis=1, kind="stable")[:, :probes] for y in (one, two)]
+    gaps = [np.take_along_axis(y, b, 1) for y, b in zip((one, two), best, strict=True)]
+    gaps = [(g[:, :1] - g) ** 2 for g in gaps]
+    cost = (gaps[0][:, :, None] + gaps[1][:, None, :]).reshape(len(x), -1)
+    nearest = np.argsort(cost, axis=1, kind="stable")[:, :probes]
+    row = np.repeat(np.arange(len(x)), nearest.shape[1])
+    wide = best[1].shape[1]
+    return row, best[0][row, (nearest // wide).ravel()], best[1][row, (nearest % wide).ravel()]
+
+
+def _dealt(df: DataFrame, tables: int, last: int, probes: int, seed: int) -> DataFrame:
+    """(id, vector, tab, axis, subs): ``df`` once per table and probed first axis, with the second axes probed beside it."""
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = _matrix(batch.column(1)).astype(np.float64)
-            for t in range(tables):
-                scores = axis_scores(x, t, seed)
-                p = min(probes, scores.shape[1])
-                axes = np.argsort(-scores, axis=1, kind="stable")[:, :p].ravel() if p > 1 else scores.argmax(1)
-                rows = pa.array(np.repeat(np.arange(len(x)), p))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.full(len(rows), t, np.int32)),
-                     pa.array(axes.astype(np.int32))], ["id", "vector", "tab", "axis"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, PROBE_ROWS):
+                batch = whole.slice(start, PROBE_ROWS)
+                x = _matrix(batch.column(1)).astype(np.float64)
+                for t in range(tables):
+                    row, axis, sub = probed(x, t, last, probes, seed)
+                    order = np.lexsort((sub, axis, row))
+                    row, axis, sub = row[order], axis[order], sub[order]
+                    fresh = np.concatenate([[True], (row[1:] != row[:-1]) | (axis[1:] != axis[:-1])])
+                    first = np.flatnonzero(fresh)
+                    rows = pa.array(row[first])
+                    subs = pa.ListArray.from_arrays(np.append(first, len(row)).astype(np.int32), pa.array(sub.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.full(len(first), t, np.int32)),
+                         pa.array(axis[first].astype(np.int32)), subs], ["id", "vector", "tab", "axis", "subs"])
 
     id_type = df.schema["id"].dataType.simpleString()
-    return df.select("id", "vector").mapInArrow(assign, f"id {id_type}, vector array<double>, tab int, axis int")
+    return df.select("id", "vector").mapInArrow(assign, f"id {id_type}, vector array<double>, tab int, axis int, subs array<int>")
+
 
+def _buckets(subs: pd.Series) -> dict[int, np.ndarray]:
+    """Rows by second axis."""
+    n = subs.map(len).to_numpy()
+    row, sub = np.repeat(np.arange(len(n)), n), np.concatenate(subs.tolist())
+    order = np.argsort(sub, kind="stable")
+    names, first = np.unique(sub[order], return_index=True)
+    return dict(zip(names.tolist(), np.split(row[order], first[1:]), strict=True))
 
-def _nearest(k: int, id_type: str):
+
+def _nearest(k: int):
     def nearest(key: tuple, queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": queries["id"][:0], "class": vectors["id"][:0], "score": np.zeros(0)})
         if not len(queries) or not len(vectors):
             return empty
         q, v = np.stack(queries["vector"]).astype(np.float64), np.stack(vectors["vector"]).astype(np.float64)
-        ids, out = vectors["id"].to_numpy(), []
-        # the matrix product ranks roughly; what may be among the best is summed again in a fixed order, so that equal
-        # vectors get equal scores wherever they are
-        rough = q @ v.T
-        cut = -np.partition(-rough, k - 1, axis=1)[:, k - 1] if rough.shape[1] > k else np.full(len(q), -np.inf)
-        slack = 1e-9 * (1 + np.abs(cut)) if rough.shape[1] > k else 0
-        row, col = np.nonzero(rough >= np.where(np.isfinite(cut), cut - slack, cut)[:, None])
+        here, rows, cols = _buckets(vectors["subs"]), [], []
+        for sub, asking in _buckets(queries["subs"]).items():
+            if sub not in here:
+                continue
+            # the matrix product ranks roughly; what may be among the best is summed again in a fixed order, so that equal
+            # vectors get equal scores wherever they are
+            rough = q[asking] @ v[here[sub]].T
+            if rough.shape[1] > k:
+                cut = -np.partition(-rough, k - 1, axis=1)[:, k - 1]
+                row, col = np.nonzero(rough >= (cut - 1e-9 * (1 + np.abs(cut)))[:, None])
+            else:
+                row, col = (x.ravel() for x in np.indices(rough.shape))
+            rows.append(asking[row])
+            cols.append(here[sub][col])
+        if not rows:
+            return empty
+        row, col = np.concatenate(rows), np.concatenate(cols)
         exact = np.zeros(len(row))
         for d in range(q.shape[1]):
             exact += q[row, d] * v[col, d]
-        out = pd.DataFrame({"row": row, "class": ids[col], "score": exact})
-        out = out.sort_values(["row", "score", "class"], ascending=[True, False, True]).groupby("row", sort=False).head(k)
-        return pd.DataFrame({"query_id": queries["id"].to_numpy()[out["row"]], "class": out["class"], "score": out["score"]})
+        ids = vectors["id"].to_numpy()[col]
+        order = np.lexsort((ids, -exact, row))
+        row, ids, exact = row[order], ids[order], exact[order]
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        top = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row)))) < k
+        return pd.DataFrame({"query_id": queries["id"].to_numpy()[row[top]], "class": ids[top], "score": exact[top]})
 
     return nearest
 
 
-def search(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 20, tables: int = 16, probes: int = 8,
-           seed: int = 0) -> DataFrame:
-    """The ``k`` nearest found of every query row: query_id, rank (from 1), ``key``, score (inner product, in double).
-
-    Candidates are all rows but the query's own id. Ties go to the smaller id. Vectors that are null, empty, zero or hold a
-    null or non-finite component take no part, nor do rows with a null id or of another length than most. Equal vectors are searched once and stand
-    for their smallest ``k + 1`` ids, which is as many as a result can hold. Equal ids count once per distinct vector. An
-    empty table gives no rows. Other columns are not read.
-    """
-    spark = df.sparkSession
-    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vector"), is_query.alias("asks"))
-    rows = common.stored(rows.where(F.col("id").isNotNull() & _valid(F.col("vector"))).withColumn("d", F.size("vector")))
-    length = rows.groupBy("d").count().orderBy(F.desc("count"), "d").first()
-    rows = rows.where(F.col("d") == (length["d"] if length else 0))
-    id_type = rows.schema["id"].dataType.simpleString()
-
-    one = rows.withColumn("digest", F.xxhash64("vector")).select("digest", "id", "vector", "asks")
-    by_vector = Window.partitionBy("digest").orderBy("id")
-    copies = common.stored(one.select("digest", "id", "vector").withColumn("place", F.row_number().over(by_vector)).where(
-        F.col("place") <= k + 1))
-    heads = copies.where("place = 1").select("id", "vector")
-    asking = rows.where("asks").select("id", "vector").dropDuplicates(["id"])
-
-    index = common.stored(_dealt(heads, tables, 1, seed))
-    probing = _dealt(asking, tables, probes, seed)
+def _found(asking: DataFrame, index: DataFrame, k: int, tables: int, last: int, probes: int, seed: int) -> DataFrame:
+    """(query_id, class, score): the best ``k`` in every cell that a query probes. A cell is a table's first axis, split by the
+    numbers of its vectors and queries."""
+    probing = common.stored(_dealt(asking, tables, last, probes, seed))
+    index = index.where(F.col("tab") < tables)
     sizes = index.groupBy("tab", "axis").agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).cast("int").alias("parts"))
     sizes = F.broadcast(common.stored(sizes))  # tables * 2 d' rows
     index = index.join(sizes, ["tab", "axis"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
@@ -137,14 +172,66 @@ def search(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 20,
         "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     index = index.join(load, ["tab", "axis"]).withColumn("q_part", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)))
     cell = ["tab", "axis", "part", "q_part"]
-    index = index.select("id", "vector", *cell).toDF("id", "vector", *[f"i_{c}" for c in cell])
-    probing = probing.select("id", "vector", *cell)
-    found = probing.groupBy(*cell).cogroup(index.groupBy(*[f"i_{c}" for c in cell])).applyInPandas(
-        _nearest(k + 1, id_type), f"query_id {id_type}, class {id_type}, score double")
+    index = index.select("id", "vector", "subs", *cell).toDF("id", "vector", "subs", *[f"i_{c}" for c in cell])
+    probing = probing.select("id", "vector", "subs", *cell)
+    id_type = asking.schema["id"].dataType.simpleString()
+    return probing.groupBy(*cell).cogroup(index.groupBy(*[f"i_{c}" for c in cell])).applyInPandas(
+        _nearest(k), f"query_id {id_type}, class {id_type}, score double")
 
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "class")
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` classes of every query."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "class")
     found = found.groupBy("query_id", "class").agg(F.max("score").alias("score"))
-    found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
+
+
+def products(df: DataFrame, vector: str, is_query: Column, tables: int = TABLES, probes: int = PROBES, seed: int = 0) -> tuple[int, int, int]:
+    """(vectors, queries, inner products of the first pass) of a search, to judge its cost."""
+    d = df.agg(F.max(F.size(vector))).first()[0] or 1
+    rows = df.where(_valid(F.col(vector).cast("array<double>"))).select(
+        F.monotonically_increasing_id().alias("id"), F.col(vector).cast("array<double>").alias("vector"), is_query.alias("asks"))
+    n, asking = rows.count(), rows.where("asks")
+    bucket = ["tab", "axis", "sub"]
+    counts = [_dealt(x, tables, last_axes(n, d), p, seed).select("tab", "axis", F.explode("subs").alias("sub")).groupBy(*bucket).agg(
+        F.count(F.lit(1)).alias(c)) for x, p, c in ((rows, 1, "x"), (asking, probes, "y"))]
+    return n, asking.count(), counts[0].join(counts[1], bucket).agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0
+
+
+def search(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 20, tables: int = TABLES, probes: int = PROBES,
+           seed: int = 0) -> DataFrame:
+    """The ``k`` nearest found of every query row: query_id, rank (from 1), ``key``, score (inner product, in double).
+
+    Candidates are all rows but the query's own id; a query has ``k`` of them, or all if there are fewer. Ties go to the smaller id.
+    Vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows with a null id. Shorter
+    vectors count as if zeros followed. Equal vectors are searched once and stand for their smallest ``k + 1`` ids, which is
+    as many as a result can hold. Equal ids count once per distinct vector; as a query, an id asks with the smallest of its
+    vectors. An empty table gives no rows. Other columns are not read.
+    """
+    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vector"), is_query.alias("asks"))
+    rows = common.stored(rows.where(F.col("id").isNotNull() & _valid(F.col("vector"))))
+    d = rows.agg(F.max(F.size("vector"))).first()[0] or 1
+    rows = rows.withColumn("vector", F.concat("vector", F.array_repeat(F.lit(0.0), F.lit(d) - F.size("vector"))))
+
+    one = rows.withColumn("digest", F.concat_ws(":", F.xxhash64("vector"), F.xxhash64(F.lit(1), "vector"))).select("digest", "id", "vector")
+    by_vector = Window.partitionBy("digest").orderBy("id")
+    copies = common.stored(one.withColumn("place", F.row_number().over(by_vector)).where(F.col("place") <= k + 1))
+    heads = copies.where("place = 1").select("id", "vector")
+    asking = common.stored(rows.where("asks").groupBy("id").agg(F.min("vector").alias("vector")))
+    n = heads.count()
+    last = last_axes(n, d)
+    index = common.stored(_dealt(heads, tables, last, 1, seed))
+    buckets = 4 * (1 << max(0, int(d - 1).bit_length())) * last
+    found = common.stored(_best(_found(asking, index, k + 1, tables, last, probes, seed), k + 1))
+    while True:
+        enough = found.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k + 1, n))
+        short = common.stored(asking.join(enough, "id", "left_anti"))
+        if probes >= buckets or short.isEmpty():
+            break
+        probes = min(8 * probes, buckets)
+        more = _found(short, index, k + 1, tables if probes < buckets else 1, last, probes, seed)
+        found = common.stored(_best(found.union(more), k + 1))
+
     heads = copies.where("place = 1").select(F.col("id").alias("class"), "digest")
     named = found.select("query_id", "class", "score").join(heads, "class").join(
         copies.select("digest", F.col("id").alias("near")), "digest").where("near <> query_id")

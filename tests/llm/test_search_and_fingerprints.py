@@ -41,13 +41,45 @@ def test_copies_ties_and_invalid_vectors(spark, monkeypatch):
     rows = [(i, x[i]) for i in range(40)] + [(100 + i, x[0]) for i in range(70)]  # one vector for most rows
     rows += [(200, None), (220, [0.0] * 8), (240, [float("nan")] * 8), (260, [1.0, None] * 4), (280, []), (300, [1.0] * 3), (None, x[1])]
     got = search(spark, rows, k=20, tables=16, probes=16)
-    assert {r["query_id"] for r in got} == {0, 20, 100, 120, 140, 160}
+    assert {r["query_id"] for r in got} == {0, 20, 100, 120, 140, 160, 300}
     best = sorted((r["rank"], r["id"]) for r in got if r["query_id"] == 120)
     copies = [0, *range(100, 170)]
     copies.remove(120)
     assert [i for _, i in best] == copies[:20]
 
 
+def test_every_query_gets_as_many_as_there_are(spark):
+    r = np.random.default_rng(3)
+    rows = [(i + 1, [1.0, *(r.normal(size=15) * 1e-3)]) for i in range(399) if (i + 1) % 20] + [(20, [-1.0] + [0.0] * 15), (40, [0.0, 1.0] + [0.0] * 14)]
+    got = search(spark, rows, k=20, tables=2, probes=1)
+    exact = {q: sorted((-sum(a * b for a, b in zip(np.float32(v).tolist(), np.float32(x).tolist(), strict=True)), i) for i, x in rows if i != q)[:20] for q, v in rows[-2:]}
+    for q in (20, 40):
+        mine = sorted((x for x in got if x["query_id"] == q), key=lambda x: x["rank"])
+        assert len(mine) == 20
+        if q == 20:  # it found nothing at first, so it probed all
+            assert [x["id"] for x in mine] == [i for _, i in exact[q]]
+
+
+def test_ids_with_several_vectors(spark):
+    x = vectors(30, 8, 5)
+    rows = [(i + 1, x[i]) for i in range(30)] + [(20, x[0] * 2), (20, x[19])]
+    got = [r for r in search(spark, rows, k=5, tables=4, probes=64) if r["query_id"] == 20]
+    asks = min(x[19].tolist(), (x[0] * 2).tolist())
+    want = sorted((-float(np.float64(asks) @ np.float64(v)), i) for i, v in rows if i != 20)[:5]
+    assert [r["id"] for r in sorted(got, key=lambda r: r["rank"])] == [i for _, i in want]
+
+
+def test_products_grow_slower_than_the_table(spark):
+    r = np.random.default_rng(8)
+    share = []
+    for n in (400, 6400):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.normal(size=(n, 24)))], "id long, v array<double>")
+        rows, asking, done = cross_polytope.products(df, "v", F.col("id") % 20 == 0)
+        assert (rows, asking) == (n, n // 20)
+        share.append(done / asking / n)
+    assert share[1] < 0.5 * share[0]
+
+
 def test_few_or_no_vectors(spark):
     got = search(spark, [(0, [1.0, 2.0]), (1, [2.0, 1.0])], k=20)
     assert [tuple(r) for r in got] == [(0, 1, 1, 4.0)]
