@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memspark import vocab
+from memspark.functions import text as tx
 from memspark.operators.ordering import order_columns, top_per_group, visible_top
 from memspark.session import broadcast_if_small, durable
 
@@ -75,6 +76,13 @@ def _range_of(bounds: list[tuple[int, int]], time: str, row: str) -> Column:
 
 
 _KEYS = ["viewer", "range", "id", "importance_score", "created_at_epoch"]
+#: The list of global rows, which every project reads beside its own list.
+GLOBAL = "global"
+
+
+def _own(project: Column) -> Column:
+    """Name of a project's own list."""
+    return F.concat(F.lit("of "), project)
 
 
 def _bases(n: int):
@@ -126,48 +134,46 @@ def _spans(n: int):
 
 
 def best_so_far(existing: DataFrame, n: int, wanted: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
-    """(viewer, range, cell, o_id, from_*, until_*): the spans in which each row is among the n best rows that its viewer could
-    see so far, cut at the time ranges and cells, and the starts of the cells. ``wanted``: (viewer, range) of the rows that ask.
+    """(viewer, range, cell, o_id, from_*, until_*): the spans in which each row is among the n best rows of its list so far, cut
+    at the time ranges and cells, and the starts of the cells. ``wanted``: (viewer, range) of the rows that ask.
 
-    The n best of the ranges before are merged per viewer, n rows per range; each range is then run through by itself, so a
-    large project is split over as many tasks as there are ranges, whose number grows with the table. Global rows are reduced
-    to those that were ever among the n best global ones before every viewer gets them.
+    There is one list per project and one of the global rows; what a project sees is merged from both when it is read. So
+    spans grow with the rows, however many projects there are and however scores develop. The n best of the ranges before
+    are merged per list, n rows per range; each range is then run through by itself, so a large list is split over as many
+    tasks as there are ranges, whose number grows with the table.
     """
     score = F.coalesce("importance_score", F.lit(1.0)).alias("importance_score")
-    scope = F.coalesce("scope", F.lit("project"))
+    viewer = F.when(F.coalesce("scope", F.lit("project")) == "global", F.lit(GLOBAL)).otherwise(_own(F.col("project"))).alias("viewer")
     at = _range_of(bounds, "created_at_epoch", "id").alias("range")
-    keys = durable(existing.select("project", scope.alias("scope"), at, "id", score, "created_at_epoch"))
-
-    def run(rows: DataFrame, asked: DataFrame | None = None) -> DataFrame:
-        best = top_per_group(rows, ["viewer", "range"], order_columns("importance"), n, "_r").select(*_KEYS)
-        kinds = best.schema
-        best = best.withColumn("real", F.lit(True))
-        if asked is not None:
-            best = best.unionByName(asked.select("viewer", "range", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("importance_score"),
-                                                 F.lit(0).cast("long").alias("created_at_epoch"), F.lit(False).alias("real")))
-        bases = best.groupBy("viewer").applyInPandas(_bases(n), kinds)
-        both = bases.withColumn("base", F.lit(True)).unionByName(rows.select(*_KEYS).withColumn("base", F.lit(False)))
-        return durable(both.groupBy("viewer", "range").applyInPandas(
-            _spans(n), "o_id long, from_time long, from_id long, until_time long, until_id long, cell long, viewer string, range int"))
-
-    shared = keys.filter(F.col("scope") == "global").withColumn("viewer", F.lit(""))
-    ever = run(shared).filter(F.col("o_id").isNotNull()).select(F.col("o_id").alias("id")).distinct()
-    viewers = wanted.select("viewer").distinct()
-    own = keys.filter(F.col("scope") == "project").withColumn("viewer", F.col("project")).join(viewers, "viewer", "left_semi")
-    seen = keys.join(ever, "id", "left_semi").filter(F.col("scope") == "global").withColumn("_all", F.lit(1)).join(
-        viewers.withColumn("_all", F.lit(1)), "_all")  # about n * log(rows) global rows for every project
-    return run(own.select(*_KEYS).unionByName(seen.select(*_KEYS)), wanted)
-
-
-def _with_cells(newer: DataFrame, spans: DataFrame) -> DataFrame:
-    """New rows with the cell of their project and range that holds their time: the last one that started before them."""
+    keys = existing.select(viewer, at, "id", score, "created_at_epoch").filter(F.col("viewer").isNotNull())
+    keys = durable(keys.join(wanted.select("viewer").distinct(), "viewer", "left_semi"))
+    best = top_per_group(keys, ["viewer", "range"], order_columns("importance"), n, "_r").select(*_KEYS)
+    kinds = best.schema
+    asked = wanted.select("viewer", "range", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("importance_score"),
+                          F.lit(0).cast("long").alias("created_at_epoch"), F.lit(False).alias("real"))
+    bases = best.withColumn("real", F.lit(True)).unionByName(asked).groupBy("viewer").applyInPandas(_bases(n), kinds)
+    both = bases.withColumn("base", F.lit(True)).unionByName(keys.select(*_KEYS).withColumn("base", F.lit(False)))
+    return durable(both.groupBy("viewer", "range").applyInPandas(
+        _spans(n), "o_id long, from_time long, from_id long, until_time long, until_id long, cell long, viewer string, range int"))
+
+
+def _with_cell(newer: DataFrame, spans: DataFrame, viewer: str, cell: str) -> DataFrame:
+    """New rows with the cell of list ``viewer`` (a column) that holds their time: the last one that started before them."""
     starts = spans.filter(F.col("o_id").isNull()).select(
-        F.col("viewer").alias("n_project"), F.col("range").alias("_range"), F.col("from_time").alias("n_created_at_epoch"),
+        F.col("viewer").alias(viewer), F.col("range").alias("_range"), F.col("from_time").alias("n_created_at_epoch"),
         F.col("from_id").alias("n_id"), F.col("cell").alias("_start"))
     rows = newer.unionByName(starts, allowMissingColumns=True)
-    order = W.partitionBy("n_project", "_range").orderBy("n_created_at_epoch", "n_id", F.col("_start").isNotNull())
+    order = W.partitionBy(viewer, "_range").orderBy("n_created_at_epoch", "n_id", F.col("_start").isNotNull())
     before = F.last("_start", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return rows.withColumn("_cell", F.coalesce(before, F.lit(0))).filter(F.col("_start").isNull()).drop("_start")
+    return rows.withColumn(cell, F.coalesce(before, F.lit(0))).filter(F.col("_start").isNull()).drop("_start")
+
+
+def _live(cell: Column) -> Column:
+    """The rows of a cell that are in it when the new row arrives, at most n."""
+    t, i = F.col("n_created_at_epoch"), F.col("n_id")
+    return F.filter(F.coalesce(cell, F.array()), lambda x: (
+        (x["from_time"].isNull() | (x["from_time"] < t) | ((x["from_time"] == t) & (x["from_id"] < i)))
+        & (x["until_time"].isNull() | (x["until_time"] > t) | ((x["until_time"] == t) & (x["until_id"] >= i)))))
 
 
 def candidate_pairs(new: DataFrame, existing: DataFrame, new_fields: list[str], old_fields: list[str],
@@ -178,7 +184,8 @@ def candidate_pairs(new: DataFrame, existing: DataFrame, new_fields: list[str],
     The bound belongs to the semantics: a new row is compared with the 50 most important rows that its project can see.
     With ``older_only`` these are the best of the rows created before it, as when rows arrive one by one, so that one batch
     over a whole table can stand for row-by-row arrival; otherwise the best of the whole table. Work is linear in the new rows:
-    each meets the spans of its cell, of which there are at most (CELL + 1) times ``max_candidates``.
+    each meets one cell of its project's list and one of the global list, of at most (CELL + 1) times ``max_candidates`` slim
+    structs each, and merges the rows that are live in them. ``old_fields`` should leave wide text out.
     """
     newer = new.select(*[F.col(c).alias(f"n_{c}") for c in dict.fromkeys([*new_fields, "id", "created_at_epoch", "project"])])
     fields = list(dict.fromkeys([*old_fields, "id", "created_at_epoch"]))
@@ -189,19 +196,30 @@ def candidate_pairs(new: DataFrame, existing: DataFrame, new_fields: list[str],
         return fan.select(*newer.columns, "_o.*").filter(F.col("n_id") != F.col("o_id"))
     times = ["created_at_epoch", "id"]
     bounds = _time_ranges(existing.select(*times).unionByName(new.select(*times)))
-    newer = newer.withColumn("_range", _range_of(bounds, "n_created_at_epoch", "n_id"))
-    asked = durable(newer.select(F.col("n_project").alias("viewer"), F.col("_range").alias("range")).filter(
-        F.col("viewer").isNotNull()).distinct())
+    names = newer.columns
+    newer = newer.filter(F.col("n_project").isNotNull()).withColumns({
+        "_range": _range_of(bounds, "n_created_at_epoch", "n_id"), "_own": _own(F.col("n_project")), "_all": F.lit(GLOBAL)})
+    asked = durable(newer.select(F.explode(F.array("_own", "_all")).alias("viewer"), F.col("_range").alias("range")).distinct())
     spans = best_so_far(existing, max_candidates, asked, bounds)
     rows = existing.join(spans.select(F.col("o_id").alias("id")).distinct(), "id", "left_semi")
-    rows = (derive(rows) if derive else rows).select(*[F.col(c).alias(f"o_{c}") for c in fields])
-    best = spans.join(rows, "o_id")
-    fan = _with_cells(newer, spans).join(best, (F.col("n_project") == F.col("viewer")) & (F.col("_range") == F.col("range"))
-                                         & (F.col("_cell") == F.col("cell")))
-    t, i = F.col("n_created_at_epoch"), F.col("n_id")
-    came = F.col("from_time").isNull() | (F.col("from_time") < t) | ((F.col("from_time") == t) & (F.col("from_id") < i))
-    stays = F.col("until_time").isNull() | (F.col("until_time") > t) | ((F.col("until_time") == t) & (F.col("until_id") >= i))
-    return fan.filter(came & stays).select(*newer.drop("_range").columns, *rows.columns)
+    rows = (derive(rows) if derive else rows).select(
+        F.coalesce("importance_score", F.lit(1.0)).alias("_score"), F.struct(*[F.col(c).alias(f"o_{c}") for c in fields]).alias("o"),
+        F.col("id").alias("o_id"), F.col("created_at_epoch").alias("_time"))
+    entry = F.struct("_score", "_time", "o_id", "from_time", "from_id", "until_time", "until_id", "o")
+    cells = durable(spans.join(rows, "o_id").groupBy("viewer", "range", "cell").agg(F.collect_list(entry).alias("held")))
+    # new rows that share both cells get them together, so the cells meet the new rows once
+    tasks = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # merging is work for all, even where rows are slim
+    newer = _with_cell(_with_cell(newer, spans, "_all", "_all_cell"), spans, "_own", "_own_cell").drop("_all")
+    newer = durable(newer.repartition(tasks, "n_id"))
+    both = ["_own", "_range", "_own_cell", "_all_cell"]
+    own = cells.select(F.col("viewer").alias("_own"), F.col("range").alias("_range"), F.col("cell").alias("_own_cell"), F.col("held").alias("_mine"))
+    shared = cells.filter(F.col("viewer") == GLOBAL).select(
+        F.col("range").alias("_range"), F.col("cell").alias("_all_cell"), F.col("held").alias("_theirs"))
+    held = newer.select(*both).distinct().join(shared, ["_range", "_all_cell"], "left").join(own, ["_own", "_range", "_own_cell"], "left")
+    fan = newer.join(held, both)
+    live = F.concat(_live(F.col("_mine")), _live(F.col("_theirs")))
+    best = tx.let(live, lambda x: F.when(F.size(x) > max_candidates, F.slice(F.sort_array(x, asc=False), 1, max_candidates)).otherwise(x))
+    return fan.select(*names, F.explode(best).alias("_best")).select(*names, "_best.o.*")
 
 
 def file_overlap_pairs(pairs: DataFrame) -> DataFrame:
