@@ -111,7 +111,8 @@ _detector("rel_narrative", PAIRS.replace("SELECT n AS n, o AS o", "SELECT n AS n
   FROM pairs p JOIN m ON m.id = p.n.id WHERE m.c IS NOT NULL""")
 
 
-@query("rel_temporal", with_views("obs") + f"""SELECT n.id AS source_id, o.id AS target_id, round({T_CONF}, 6) AS confidence FROM obs_v n JOIN obs_v o
+@query("rel_temporal", with_views("obs") + f""", slim AS MATERIALIZED (SELECT id, sdk_session_id, created_at_epoch FROM obs_v)
+  SELECT n.id AS source_id, o.id AS target_id, round({T_CONF}, 6) AS confidence FROM slim n JOIN slim o
   ON n.sdk_session_id = o.sdk_session_id AND {_GAP} <= 300000 AND (o.created_at_epoch < n.created_at_epoch OR (o.created_at_epoch = n.created_at_epoch AND o.id < n.id))""")
 def rel_temporal(spark, d):
     return rl.run_detector(rl.temporal_pairs(v.obs(spark, d)), "rel_temporal").select(
@@ -139,8 +140,9 @@ def detect_relations(spark, d):
     return rl.detect_relations(_relation_pairs(spark, d)).withColumn("confidence", F.round("confidence", 6))
 
 
-_DET = """SELECT r.id, r.source_id, r.target_id, coalesce(s.title,'') AS source_title, s.type AS source_type, coalesce(t.title,'') AS target_title, t.type AS target_type
-  FROM relations_v r JOIN obs_v s ON s.id = r.source_id JOIN obs_v t ON t.id = r.target_id"""
+_DET = """, slim AS MATERIALIZED (SELECT id, coalesce(title, '') AS title, type FROM obs_v)
+  SELECT r.id, r.source_id, r.target_id, s.title AS source_title, s.type AS source_type, t.title AS target_title, t.type AS target_type
+  FROM relations_v r JOIN slim s ON s.id = r.source_id JOIN slim t ON t.id = r.target_id"""
 _DCOLS = ["id", "source_id", "target_id", "source_title", "source_type", "target_title", "target_type"]
 
 
@@ -210,8 +212,9 @@ def detect_conflicts(spark, d):
     return cf.detect_conflicts(_conflict_pairs(spark, d))
 
 
-@query("conflicts_detailed", with_views("conflicts", "obs") + """SELECT c.id, n.title AS newer_title, o.title AS older_title FROM conflicts_v c
-  JOIN obs_v n ON n.id = c.newer_obs_id JOIN obs_v o ON o.id = c.older_obs_id WHERE n.project = 'p3' OR o.project = 'p3'""")
+@query("conflicts_detailed", with_views("conflicts", "obs") + """, slim AS MATERIALIZED (SELECT id, title, project FROM obs_v)
+  SELECT c.id, n.title AS newer_title, o.title AS older_title FROM conflicts_v c
+  JOIN slim n ON n.id = c.newer_obs_id JOIN slim o ON o.id = c.older_obs_id WHERE n.project = 'p3' OR o.project = 'p3'""")
 def conflicts_detailed(spark, d):
     return cf.conflicts_detailed(v.conflicts(spark, d), v.obs(spark, d), "p3").select("id", "newer_title", "older_title")
 
@@ -324,7 +327,7 @@ def pattern_members(spark, d):
     return pt.mined_members(rest, pt.pattern_mine(o, matched))
 
 
-@query("pattern_occurrence", with_views("patterns", "obs") + f""", mt AS (SELECT (id * 7) % 500 AS pattern_id, id % 900 AS observation_id, project, created_at_epoch AS seen FROM obs_v),
+@query("pattern_occurrence", with_views("patterns", "obs") + f""", mt AS (SELECT (id - id % 2) * 7 % (SELECT count(*) FROM patterns_v) AS pattern_id, id - id % 2 AS observation_id, project, created_at_epoch AS seen FROM obs_v),
  fr AS (SELECT pattern_id, observation_id, min(project) AS project, max(seen) AS seen FROM mt GROUP BY 1, 2),
  nw AS (SELECT fr.* FROM fr LEFT JOIN (SELECT id, unnest([id, id + 1]) AS oid FROM patterns_v) k ON k.id = fr.pattern_id AND k.oid = fr.observation_id WHERE k.id IS NULL),
  g AS (SELECT pattern_id, count(*) AS n, list(DISTINCT project) AS pj, max(seen) AS seen FROM nw GROUP BY pattern_id),
@@ -333,9 +336,11 @@ def pattern_members(spark, d):
  SELECT id, frequency, n_projects, round(CASE WHEN hit THEN least(1e0, 0.3e0 + 0.4e0 * (least(frequency, 10) / 10e0) + CASE WHEN n_projects >= 5 THEN 0.2e0 WHEN n_projects >= 2 THEN 0.1e0 ELSE 0e0 END) ELSE c0 END, 6) AS confidence,
    last_seen_at_epoch FROM j""")
 def pattern_occurrence(spark, d):
-    m = v.obs(spark, d).select((F.col("id") * 7 % 500).alias("pattern_id"), (F.col("id") % 900).alias("observation_id"), "project",
+    p = v.patterns(spark, d)
+    n, seen = p.agg(F.count("*").alias("n")).scalar(), F.col("id") - F.col("id") % 2
+    m = v.obs(spark, d).select((seen * 7 % n).alias("pattern_id"), seen.alias("observation_id"), "project",
                                F.col("created_at_epoch").alias("seen_at"))
-    return pt.pattern_occurrence(v.patterns(spark, d), m).select(
+    return pt.pattern_occurrence(p, m).select(
         "id", "frequency", F.size("projects").alias("n_projects"), F.round("confidence", 6).alias("confidence"), "last_seen_at_epoch")
 
 
@@ -346,9 +351,12 @@ def pattern_occurrence(spark, d):
  SELECT p.id, CAST(p.frequency + coalesce(ex.f, 0) AS BIGINT) AS frequency, (SELECT count(*) FROM pj WHERE pj.id = p.id) AS n_projects, (SELECT count(*) FROM oi WHERE oi.id = p.id) AS n_ids,
    CASE WHEN p.id % 10 <> 0 THEN 'merged' ELSE p.status END AS status, CASE WHEN p.id % 10 <> 0 THEN p.id - p.id % 10 END AS merged_into_id FROM patterns_v p LEFT JOIN ex ON ex.id = p.id""")
 def pattern_merge(spark, d):
+    """Every pattern into the one before it, down to the next multiple of ten: chains of up to nine merges."""
     p = v.patterns(spark, d)
-    merges = p.filter(F.col("id") % 10 != 0).select(F.col("id").alias("source_id"), (F.col("id") - F.col("id") % 10).alias("target_id"))
-    return pt.pattern_merge(p, merges).select("id", "frequency", F.size("projects").alias("n_projects"), F.size("observation_ids").alias("n_ids"), "status", "merged_into_id")
+    merges = p.filter(F.col("id") % 10 != 0).select(F.col("id").alias("source_id"), (F.col("id") - 1).alias("target_id"))
+    n_ids = pt.merge_members(pt.members(p), merges).groupBy(F.col("pattern_id").alias("id")).agg(F.count("*").alias("n_ids"))
+    return pt.pattern_merge(p, merges).join(n_ids, "id", "left").select(
+        "id", "frequency", F.size("projects").alias("n_projects"), F.coalesce("n_ids", F.lit(0)).alias("n_ids"), "status", "merged_into_id")
 
 
 @query("pattern_deprecate", with_views("patterns") + "SELECT id, CASE WHEN frequency < 10 THEN 'deprecated' ELSE status END AS status FROM patterns_v")

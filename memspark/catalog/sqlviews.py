@@ -91,7 +91,7 @@ _CTES = {
     SELECT event_id AS request_id, 'p' || (user_id % 8) AS project,
       CASE WHEN event_id % 4 = 0 THEN 'inject' ELSE 'search' END AS kind, event_id % 11 AS served,
       event_id % 3 AS verified, CASE WHEN event_id % 29 = 0 THEN 1 ELSE 0 END AS deleted,
-      event_id*7 % 1000 AS obs_id, ts FROM events"""),
+      CASE WHEN event_id % 5 = 0 THEN event_id // 5 ELSE event_id*7 % (SELECT count(*) FROM events) END AS obs_id, ts FROM events"""),
     "tool_events": ("tool_events_v", f"""
     SELECT event_id, 'u' || user_id AS session_id, 'p' || (user_id % 8) AS project,
       {pick(V.TOOLS, 'event_id % 12')} AS tool_name, {pick(V.TOOL_INPUTS, 'event_id % 5')} AS tool_input,

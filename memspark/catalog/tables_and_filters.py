@@ -97,11 +97,11 @@ def io_tool_events(spark, d):
         F.count("*").alias("n"), F.sum(F.length("tool_response")).alias("chars"))
 
 
-@query("io_insert_ignore", with_views("relations") + """, k AS (SELECT DISTINCT source_id, target_id % 1000 AS target_id, relation_type FROM relations_v),
-  old AS (SELECT DISTINCT source_id, target_id % 1000 AS target_id, relation_type FROM relations_v WHERE confidence > 0.65e0)
+@query("io_insert_ignore", with_views("relations") + """, k AS (SELECT DISTINCT source_id, target_id, relation_type FROM relations_v),
+  old AS (SELECT DISTINCT source_id, target_id, relation_type FROM relations_v WHERE confidence > 0.65e0)
   SELECT count(*) AS inserted, sum(source_id) AS source_sum FROM (SELECT * FROM k EXCEPT SELECT * FROM old)""")
 def io_insert_ignore(spark, d):
-    r = v.relations(spark, d).withColumn("target_id", F.col("target_id") % 1000)
+    r = v.relations(spark, d)
     new = tb.insert_ignore(r.filter(F.col("confidence") > 0.65), r.unionByName(r), tb.UNIQUE_KEYS["relations"])
     return new.agg(F.count("*").alias("inserted"), F.sum("source_id").alias("source_sum"))
 

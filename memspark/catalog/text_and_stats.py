@@ -46,9 +46,10 @@ def terms(spark, d):
     return t.select("id", F.size("t").alias("n"), F.md5(F.array_join(F.array_sort("t"), " ")).alias("digest"))
 
 
-@query("jaccard", with_views("obs") + f""", t AS (SELECT id, {TERMS_SQL} AS t FROM obs_v)
-  SELECT a.id, round(len(list_intersect(a.t, b.t)) / CAST(len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)) AS DOUBLE), 6) AS jaccard
-  FROM t a JOIN t b ON b.id = a.id + 1""")
+@query("jaccard", with_views("obs") + f""", t AS MATERIALIZED (SELECT id, {TERMS_SQL} AS t FROM obs_v),
+  n AS (SELECT id, t, lead(id) OVER (ORDER BY id) AS next, lead(t) OVER (ORDER BY id) AS u FROM t),
+  m AS (SELECT id, len(t) + len(u) AS total, len(list_intersect(t, u)) AS shared FROM n WHERE next = id + 1)
+  SELECT id, round(shared / CAST(total - shared AS DOUBLE), 6) AS jaccard FROM m""")
 def jaccard(spark, d):
     t = v.obs(spark, d).select("id", tx.observation_terms().alias("t"))
     nxt = t.select((F.col("id") - 1).alias("id"), F.col("t").alias("u"))
@@ -91,8 +92,9 @@ def candidate_key(spark, d):
     return v.obs(spark, d).select("id", tx.candidate_key(tx.signature(F.col("concepts"), F.col("title"))).alias("candidate_key"))
 
 
-@query("match_score", with_views("obs") + f""", s AS (SELECT id, sig FROM {SIG_SQL}), m AS (SELECT a.id, a.sig AS x, b.sig AS y,
-  len(list_filter(b.sig, lambda w: list_contains(a.sig, w))) AS m FROM s a JOIN s b ON b.id = a.id + 1)
+@query("match_score", with_views("obs") + f""", s AS MATERIALIZED (SELECT id, sig FROM {SIG_SQL}),
+  n AS (SELECT id, sig AS x, lead(id) OVER (ORDER BY id) AS next, lead(sig) OVER (ORDER BY id) AS y FROM s),
+  m AS (SELECT id, x, y, len(list_filter(y, lambda w: list_contains(x, w))) AS m FROM n WHERE next = id + 1)
   SELECT id, round(m / CAST(len(x) + len(y) - m AS DOUBLE), 6) AS score FROM m""")
 def match_score(spark, d):
     s = v.obs(spark, d).select("id", tx.signature(F.col("concepts"), F.col("title")).alias("x"))
@@ -428,13 +430,14 @@ def rescore_batch(spark, d):
     return sc.rescore_batch(v.obs(spark, d), NOW).withColumn("importance_score", F.round("importance_score", 6))
 
 
-@query("apply_feedback", with_views("obs") + f""", fb AS (SELECT (event_id * 3) % 1000 AS id, CAST(event_id % 4 - 1 AS INTEGER) AS f, event_id AS at_no FROM events),
+@query("apply_feedback", with_views("obs") + f""", fb AS (SELECT CASE WHEN event_id % 5 = 0 THEN event_id // 5 ELSE event_id * 3 % (SELECT count(*) FROM events) END AS id, CAST(event_id % 4 - 1 AS INTEGER) AS f, event_id AS at_no FROM events),
   l AS (SELECT id, arg_max(f, at_no) AS f FROM fb WHERE f <= 1 GROUP BY id),
   o AS (SELECT o.* REPLACE (coalesce(l.f, o.user_feedback) AS user_feedback), l.f IS NOT NULL AS hit FROM obs_v o LEFT JOIN l ON l.id = o.id)
   SELECT id, user_feedback, round(CASE WHEN hit THEN {FINAL} ELSE importance_score END, 6) AS importance_score FROM {parts_sql(NOW).replace('FROM obs_v)', 'FROM o)')}""")
 def apply_feedback(spark, d):
-    e = F.col("event_id")
-    fb = v.table(spark, d, "events").select((e * 3 % 1000).alias("id"), (e % 4 - 1).cast("int").alias("feedback"), e.alias("at"))
+    e, events = F.col("event_id"), v.table(spark, d, "events")
+    n = events.agg(F.count("*").alias("n")).scalar()
+    fb = events.select(F.when(e % 5 == 0, F.floor(e / 5)).otherwise(e * 3 % n).alias("id"), (e % 4 - 1).cast("int").alias("feedback"), e.alias("at"))
     return sc.apply_feedback(v.obs(spark, d), fb, NOW).select("id", "user_feedback", F.round("importance_score", 6).alias("importance_score"))
 
 
