@@ -76,13 +76,8 @@ def _range_of(bounds: list[tuple[int, int]], time: str, row: str) -> Column:
 
 
 _KEYS = ["viewer", "range", "id", "importance_score", "created_at_epoch"]
-#: The list of global rows, which every project reads beside its own list.
-GLOBAL = "global"
-
-
-def _own(project: Column) -> Column:
-    """Name of a project's own list."""
-    return F.concat(F.lit("of "), project)
+#: Name of the list of global rows, which every project reads beside its own list; no project's name holds a control character.
+GLOBAL = "\x00global"
 
 
 def _bases(n: int):
@@ -143,7 +138,7 @@ def best_so_far(existing: DataFrame, n: int, wanted: DataFrame, bounds: list[tup
     tasks as there are ranges, whose number grows with the table.
     """
     score = F.coalesce("importance_score", F.lit(1.0)).alias("importance_score")
-    viewer = F.when(F.coalesce("scope", F.lit("project")) == "global", F.lit(GLOBAL)).otherwise(_own(F.col("project"))).alias("viewer")
+    viewer = F.when(F.coalesce("scope", F.lit("project")) == "global", F.lit(GLOBAL)).otherwise(F.col("project")).alias("viewer")
     at = _range_of(bounds, "created_at_epoch", "id").alias("range")
     keys = existing.select(viewer, at, "id", score, "created_at_epoch").filter(F.col("viewer").isNotNull())
     keys = durable(keys.join(wanted.select("viewer").distinct(), "viewer", "left_semi"))
@@ -198,7 +193,7 @@ def candidate_pairs(new: DataFrame, existing: DataFrame, new_fields: list[str],
     bounds = _time_ranges(existing.select(*times).unionByName(new.select(*times)))
     names = newer.columns
     newer = newer.filter(F.col("n_project").isNotNull()).withColumns({
-        "_range": _range_of(bounds, "n_created_at_epoch", "n_id"), "_own": _own(F.col("n_project")), "_all": F.lit(GLOBAL)})
+        "_range": _range_of(bounds, "n_created_at_epoch", "n_id"), "_own": F.col("n_project"), "_all": F.lit(GLOBAL)})
     asked = durable(newer.select(F.explode(F.array("_own", "_all")).alias("viewer"), F.col("_range").alias("range")).distinct())
     spans = best_so_far(existing, max_candidates, asked, bounds)
     rows = existing.join(spans.select(F.col("o_id").alias("id")).distinct(), "id", "left_semi")

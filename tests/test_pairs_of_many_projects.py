@@ -38,7 +38,7 @@ def test_spans_grow_with_rows_not_with_projects(spark, obs_of, monkeypatch):
     obs = obs_of(rows)
     bounds = pr._time_ranges(obs.select("created_at_epoch", "id"))
     parts = len(bounds) + 1
-    wanted = spark.createDataFrame([(v, r) for v in [pr.GLOBAL, *[f"of p{j}" for j in range(40)]] for r in range(parts)], "viewer string, range int")
+    wanted = spark.createDataFrame([(v, r) for v in [pr.GLOBAL, *[f"p{j}" for j in range(40)]] for r in range(parts)], "viewer string, range int")
     spans = pr.best_so_far(obs, 5, wanted, bounds)
     held = spans.filter("o_id IS NOT NULL")
     assert held.count() <= 2 * 200 + 5 * (parts + 200 // 10 + 1) and held.select("viewer").distinct().count() == 1
