@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memspark.functions.text import keywords
 from memspark.operators.ordering import top_per_group
@@ -12,7 +20,8 @@ from memspark.session import broadcast_if_small, durable
 K1, B = 1.2, 0.75
 MIN_IDF = 1e-6
 SMALL_KEYWORDS = 200_000
-GRAM = 4  # keywords have at least four characters
+AUTOMATON_CHARACTERS = 4_000_000  # of the keywords that one pass over the texts looks for, about 300 MB in a worker
+KEYWORD_CHARACTERS = 16_000_000   # of the keywords that one pass counts
 
 OBSERVATION_FIELDS = ["title", "subtitle", "narrative"]
 PATTERN_FIELDS = ["name", "description", "recommendation"]
@@ -27,76 +36,149 @@ def query_keywords(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "project", F.explode(keywords(F.col("query"))).alias("term"))
 
 
-def bm25_scores(docs: DataFrame, fields, terms: DataFrame, scoped: bool = True) -> DataFrame:
-    """(query_id, id, score) of documents that contain any of a query's terms.
+def word_parts(terms: DataFrame, characters: int) -> Iterator[tuple[int, list[str]]]:
+    """The distinct terms in numbered parts by hash, of about ``characters`` each, so that a worker can hold one part."""
+    words = terms.select("term").distinct()
+    parts = -(-(words.agg(F.sum(F.length("term"))).first()[0] or 0) // characters)
+    for part in range(parts):
+        yield part, [r[0] for r in words.filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == part).toLocalIterator()]
+
+
+def counted_tokens(docs: DataFrame, fields, terms: DataFrame, kept: list[str]) -> DataFrame:
+    """(id, kept columns, part, len, terms), stored: the number of tokens of each document, and an array of (term, tf) of
+    those that some query asks for.
 
-    Texts are tokenized in one pass. Only tokens that some query asks for leave a document, counted on the map side,
-    plus one '' row per document that carries its length for the collection statistics. These postings are stored once
-    and serve the statistics and both joins. With ``scoped``, a query meets documents of its project through a
-    (term, project) join and global documents of other projects through a second join.
+    Tokens are counted where the text is: no token becomes a row, and nothing is shuffled. Query terms beyond what a
+    worker should hold are split by hash, with one row per document and part.
     """
-    toks = F.regexp_extract_all(search_text(fields), F.lit("[a-z0-9_]+"), F.lit(0))
-    scope_cols = ["project", "scope"] if scoped else []
-    t = docs.select("id", *scope_cols, toks.alias("toks"), F.size(toks).alias("len"))
-    wanted = terms.select("term").distinct().unionByName(terms.sparkSession.createDataFrame([("",)], "term string"))
-    t = t.select("id", *scope_cols, "len", F.explode(F.array_append("toks", F.lit(""))).alias("term"))
-    tf = durable(t.join(broadcast_if_small(wanted, SMALL_KEYWORDS), "term", "left_semi")
-                 .groupBy("id", *scope_cols, "len", "term").agg(F.count("*").alias("tf")))
-    corpus = tf.filter(F.col("term") == "").agg(F.struct(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg_len")).alias("c")).scalar()
-    tf = tf.filter(F.col("term") != "")
-    c = tf.groupBy("term").agg(F.count("*").cast("double").alias("df")).withColumn("c", corpus)
+    rows = docs.select("id", *kept, search_text(fields).alias("body"))
+    pair = T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())])
+    schema = T.StructType([*rows.drop("body").schema.fields, T.StructField("part", T.IntegerType()),
+                           T.StructField("len", T.IntegerType()), T.StructField("terms", T.ArrayType(pair))])
+    out = None
+    for part, words in word_parts(terms, KEYWORD_CHARACTERS):
+        def count(batches: Iterator[pa.RecordBatch], part: int = part, words: list[str] = words) -> Iterator[pa.RecordBatch]:
+            wanted, token = set(words), re.compile("[a-z0-9_]+")
+            for batch in batches:
+                lengths, ends, names, counts = [], [0], [], []
+                for text in batch.column(batch.num_columns - 1).to_pylist():
+                    tokens = token.findall(text)
+                    held = Counter(t for t in tokens if t in wanted)
+                    lengths.append(len(tokens))
+                    names.extend(held)
+                    counts.extend(held.values())
+                    ends.append(len(names))
+                pairs = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int32())], ["term", "tf"])
+                columns = [*batch.columns[:-1], pa.array([part] * len(lengths), pa.int32()), pa.array(lengths, pa.int32()),
+                           pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)]
+                yield pa.RecordBatch.from_arrays(columns, schema_names)
+
+        schema_names = schema.names
+        counted = rows.mapInArrow(count, schema)
+        out = counted if out is None else out.unionByName(counted)
+    return durable(out if out is not None else docs.sparkSession.createDataFrame([], schema))
+
+
+def term_weights(counted: DataFrame) -> DataFrame:
+    """(term, idf, avg_len), stored."""
+    corpus = counted.filter(F.col("part") == 0).agg(
+        F.struct(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg_len")).alias("c")).scalar()
+    c = counted.select(F.explode("terms.term").alias("term")).groupBy("term").agg(
+        F.count("*").cast("double").alias("df")).withColumn("c", corpus)
     idf = F.log((F.col("c.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = c.select("term", F.when(idf > 0, idf).otherwise(F.lit(MIN_IDF)).alias("idf"), F.col("c.avg_len").alias("avg_len"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    q = broadcast_if_small(terms.join(weight, "term"), SMALL_KEYWORDS)
+    return durable(c.select("term", F.when(idf > 0, idf).otherwise(F.lit(MIN_IDF)).alias("idf"), F.col("c.avg_len").alias("avg_len")))
+
+
+def bm25_scores(docs: DataFrame, fields, terms: DataFrame, scoped: bool = True, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, id, score, carried columns) of documents that contain any of a query's terms.
+
+    With ``scoped``, a query meets documents of its project through a (term, project) join and global documents of other
+    projects through a second join. What a ranking needs beside the score is carried, so documents are read once.
+    """
+    kept = [*(["project", "scope"] if scoped else []), *carried]
+    counted = counted_tokens(docs, fields, terms, kept)
+    q = broadcast_if_small(terms.join(term_weights(counted), "term"), SMALL_KEYWORDS)
+    tf = counted.select("id", *kept, "len", F.inline("terms"))
+    impact = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    out = ["query_id", "id", *carried, impact.alias("p")]
     if not scoped:
-        hits = tf.join(q, "term").select("query_id", "id", part.alias("p"))
+        hits = tf.join(q, "term").select(*out)
     else:
         q = q.withColumnRenamed("project", "q_project")
         own = tf.join(q, (tf["term"] == q["term"]) & (tf["project"] == q["q_project"]))
-        shared = tf.filter(F.col("scope") == "global").join(q, "term").filter(F.col("project") != F.col("q_project"))
-        hits = own.select("query_id", "id", part.alias("p")).unionByName(shared.select("query_id", "id", part.alias("p")))
-    return hits.groupBy("query_id", "id").agg(F.sum("p").alias("score"))
+        shared = tf.filter(F.col("scope") == "global").join(q, "term").filter(~F.col("project").eqNullSafe(F.col("q_project")))
+        hits = own.select(*out).unionByName(shared.select(*out))
+    return hits.groupBy("query_id", "id").agg(F.sum("p").alias("score"), *[F.max(c).alias(c) for c in carried])
+
+
+def _lists(scope: Column, project: Column) -> Column:
+    """Lists that a row stands in, as an array of (shared, owner): its project's, and that of all global rows."""
+    own = F.struct(F.lit(False).alias("shared"), project.alias("owner"))
+    everyone = F.struct(F.lit(True).alias("shared"), F.lit("").alias("owner"))
+    return F.when(scope == "global", F.array(own, everyone)).otherwise(F.array(own))
+
+
+def _seen_lists(terms: DataFrame) -> DataFrame:
+    """(query_id, term, shared, owner): the two lists that a query sees."""
+    return terms.select("query_id", "term", F.inline(_lists(F.lit("global"), F.col("project"))))
+
+
+LIST = ["term", "shared", "owner"]
 
 
 def search_fts(obs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """(query_id, id, score, rank): best observations visible to the query's project."""
-    scored = bm25_scores(obs, OBSERVATION_FIELDS, query_keywords(queries))
-    keys = obs.select("id", F.coalesce("importance_score", F.lit(1.0)).alias("_imp"))
+    docs = obs.withColumn("_imp", F.coalesce("importance_score", F.lit(1.0)))
+    scored = bm25_scores(docs, OBSERVATION_FIELDS, durable(query_keywords(queries)), carried=("_imp",))
     order = [F.round("score", 9).desc(), F.col("_imp").desc(), F.col("id").asc()]
-    return top_per_group(scored.join(keys, "id"), "query_id", order, limit, "rank").drop("_imp")
+    return top_per_group(scored, "query_id", order, limit, "rank").drop("_imp")
 
 
 def search_patterns_fts(patterns: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """The same over active patterns; every project sees them. Statistics come from all patterns."""
-    scored = bm25_scores(patterns, PATTERN_FIELDS, query_keywords(queries), scoped=False)
-    active = patterns.filter(F.col("status") == "active").select("id")
+    scored = bm25_scores(patterns, PATTERN_FIELDS, durable(query_keywords(queries)), scoped=False, carried=("status",))
     order = [F.round("score", 9).desc(), F.col("id").asc()]
-    return top_per_group(scored.join(active, "id", "left_semi"), "query_id", order, limit, "rank")
+    return top_per_group(scored.filter(F.col("status") == "active").drop("status"), "query_id", order, limit, "rank")
+
+
+# substrings ------------------------------------------------------------------------------------------
+
+def keywords_within(body: Column, words: list[str]) -> Column:
+    """The distinct ones of ``words`` that occur anywhere in a text, found by one automaton in one pass over it."""
+    @F.pandas_udf("array<string>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = ahocorasick.Automaton()
+        for word in words:
+            automaton.add_word(word, word)
+        automaton.make_automaton()
+        for texts in batches:
+            yield pd.Series([sorted({word for _, word in automaton.iter(text)}) for text in texts], dtype=object)
+
+    return found(body)
 
 
 def search_like(obs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """(query_id, id, rank): observations with any keyword as a substring of title, subtitle or narrative.
 
-    A keyword can only occur where its first four characters do, so texts and keywords meet in an equality join on
-    four-character grams. Each text then checks only the keywords that can occur in it, in full.
+    One automaton over all keywords runs once over each text, in place; only the keywords that a text holds leave it.
+    Keywords beyond what one automaton should hold are split by hash, with one pass over the texts per part. Rows are
+    ranked by themselves alone, so each keyword keeps its ``limit`` best rows per project and its ``limit`` best global
+    rows, and a query merges the lists of its keywords.
     """
-    terms = query_keywords(queries).withColumn("gram", F.substring("term", 1, GRAM))
-    words = broadcast_if_small(terms.select("gram", "term").distinct(), SMALL_KEYWORDS)
-    body = search_text(OBSERVATION_FIELDS)
-    overlapping = F.regexp_extract_all(body, F.lit("(?=([a-z0-9_]{%d}))" % GRAM), F.lit(1))
-    grams = obs.select("id", F.explode(F.array_distinct(overlapping)).alias("gram"))
-    possible = grams.join(words, "gram").groupBy("id").agg(F.collect_set("term").alias("terms"))
-    docs = obs.select("id", "project", "scope", "importance_score", "created_at_epoch", body.alias("body"))
-    found_in = docs.join(possible, "id").withColumn(
-        "term", F.explode(F.filter("terms", lambda t: F.contains(F.col("body"), t)))).drop("body", "terms")
-    t = broadcast_if_small(terms.select("query_id", F.col("project").alias("q_project"), "term"), SMALL_KEYWORDS)
-    own = found_in.join(t, (found_in["term"] == t["term"]) & (found_in["project"] == t["q_project"]))
-    shared = found_in.filter(F.col("scope") == "global").join(t, "term").filter(F.col("project") != F.col("q_project"))
-    cols = ["query_id", "id", "importance_score", "created_at_epoch"]
-    found = own.select(*cols).unionByName(shared.select(*cols)).distinct()
+    terms = durable(query_keywords(queries))
     order = [F.coalesce("importance_score", F.lit(1.0)).desc(), F.col("created_at_epoch").desc(), F.col("id").desc()]
-    return top_per_group(found, "query_id", order, limit, "rank").select("query_id", "id", "rank")
+    kept = ["id", "project", "scope", "importance_score", "created_at_epoch"]
+    found = None
+    for _, words in word_parts(terms, AUTOMATON_CHARACTERS):
+        if words:
+            hits = obs.select(*kept, F.explode(keywords_within(search_text(OBSERVATION_FIELDS), words)).alias("term"))
+            found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        return terms.select("query_id").join(obs.select("id"), F.lit(False)).withColumn("rank", F.lit(0))
+    lists = found.select("term", *kept, F.inline(_lists(F.col("scope"), F.col("project")))).drop("project", "scope")
+    best = top_per_group(lists, LIST, order, limit, "_r")
+    merged = _seen_lists(terms).join(best, LIST).select("query_id", "id", "importance_score", "created_at_epoch").distinct()
+    return top_per_group(merged, "query_id", order, limit, "rank").select("query_id", "id", "rank")
 
 
 def search_text_with_fallback(obs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
