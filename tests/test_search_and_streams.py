@@ -223,3 +223,14 @@ def test_memory_stream_cascades_and_finds_patterns(spark, tmp_path, obs_of):
     assert {(r.source_id, r.target_id) for r in t["relations"]} == {(3, 2)}
     assert not [r for r in t["conflicts"] if 1 in (r.newer_obs_id, r.older_obs_id)]
     assert [(r.name, r.frequency, r.first_observation_id) for r in t["patterns"]] == [("Nil pointer panic", 2, 1)]
+
+
+def test_vocabulary_ties_go_by_term(spark):
+    """Three terms have the cosine 1 / sqrt(2) with the query; vectors of floats would put the first one last."""
+    terms = ["alpha beta beta gamma gamma gamma delta delta", "gamma delta", "gamma omega"]
+    words = "alpha beta gamma delta omega".split()
+    assert len({int(np.argmax(v)) for v in models.HASHED.embed(pd.Series(words))}) == len(words)
+    vocabulary = spark.createDataFrame([(t, 1.0) for t in terms], "term string, weight double")
+    queries = spark.createDataFrame([(1, "p", "gamma")], "query_id long, project string, query string")
+    got = vs.expand_vocab(queries, vocabulary, min_similarity=0.3).collect()
+    assert sorted(r["source"] for r in got) == [f"vocabulary:{t}" for t in terms[:2]]
