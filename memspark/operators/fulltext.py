@@ -89,6 +89,11 @@ def term_weights(counted: DataFrame) -> DataFrame:
     return durable(c.select("term", F.when(idf > 0, idf).otherwise(F.lit(MIN_IDF)).alias("idf"), F.col("c.avg_len").alias("avg_len")))
 
 
+def _impact() -> Column:
+    """What one term adds to the score of a document."""
+    return F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+
+
 def bm25_scores(docs: DataFrame, fields, terms: DataFrame, scoped: bool = True, carried: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, id, score, carried columns) of documents that contain any of a query's terms.
 
@@ -99,8 +104,7 @@ def bm25_scores(docs: DataFrame, fields, terms: DataFrame, scoped: bool = True,
     counted = counted_tokens(docs, fields, terms, kept)
     q = broadcast_if_small(terms.join(term_weights(counted), "term"), SMALL_KEYWORDS)
     tf = counted.select("id", *kept, "len", F.inline("terms"))
-    impact = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    out = ["query_id", "id", *carried, impact.alias("p")]
+    out = ["query_id", "id", *carried, _impact().alias("p")]
     if not scoped:
         hits = tf.join(q, "term").select(*out)
     else:
@@ -134,11 +138,35 @@ def search_fts(obs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame
     return top_per_group(scored, "query_id", order, limit, "rank").drop("_imp")
 
 
+def class_scores(counted: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(asked, query_id), (alike, id, status) and (asked, alike, score): BM25 of classes, as a score depends on a query's
+    keywords and on a document's length and counts alone. Queries with equal keywords are one class, and so are documents
+    with equal length and counts, so repeated queries and documents do not multiply."""
+    words = terms.groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("words"))
+    queries = durable(words.withColumn("asked", F.sha2(F.array_join("words", " "), 256)))
+    docs = counted.groupBy("id", "status", "len").agg(F.array_sort(F.flatten(F.collect_list("terms"))).alias("terms"))
+    docs = durable(docs.filter(F.size("terms") > 0).withColumn("alike", F.sha2(F.to_json(F.struct("len", "terms")), 256)))
+    asked = queries.groupBy("asked").agg(F.first("words").alias("words")).select("asked", F.explode("words").alias("term"))
+    tf = docs.groupBy("alike").agg(F.first("len").alias("len"), F.first("terms").alias("terms")).select("alike", "len", F.inline("terms"))
+    q = broadcast_if_small(asked.join(term_weights(counted), "term"), SMALL_KEYWORDS)
+    scores = tf.join(q, "term").groupBy("asked", "alike").agg(F.sum(_impact()).alias("score"))
+    return queries.select("asked", "query_id"), docs.select("alike", "id", "status"), scores
+
+
 def search_patterns_fts(patterns: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """The same over active patterns; every project sees them. Statistics come from all patterns."""
-    scored = bm25_scores(patterns, PATTERN_FIELDS, durable(query_keywords(queries)), scoped=False, carried=("status",))
+    """The same over active patterns; every project sees them. Statistics come from all patterns.
+
+    Classes are scored. A class of documents offers its ``limit`` least ids, and a class of queries looks at its ``limit``
+    best classes of documents, which hold its best rows.
+    """
+    terms = durable(query_keywords(queries))
+    asked, alike, scores = class_scores(counted_tokens(patterns, PATTERN_FIELDS, terms, ["status"]), terms)
+    ids = durable(top_per_group(alike.filter(F.col("status") == "active"), "alike", [F.col("id").asc()], limit, "_n"))
     order = [F.round("score", 9).desc(), F.col("id").asc()]
-    return top_per_group(scored.filter(F.col("status") == "active").drop("status"), "query_id", order, limit, "rank")
+    heads = scores.join(ids.filter(F.col("_n") == 1).select("alike", "id"), "alike")
+    best = top_per_group(heads, "asked", order, limit, "_r").select("asked", "alike", "score")
+    rows = top_per_group(best.join(ids.select("alike", "id"), "alike"), "asked", order, limit, "rank")
+    return asked.join(rows, "asked").select("query_id", "id", "score", "rank")
 
 
 # substrings ------------------------------------------------------------------------------------------

@@ -105,3 +105,21 @@ def test_empty_inputs(spark, obs_of):
     for search in (fulltext.search_fts, fulltext.search_like):
         assert search(some, none).collect() == []
         assert search(some.limit(0), q).collect() == []
+
+
+def test_pattern_search_scores_classes(spark):
+    """Thirty equal queries over patterns of six kinds are three scores, and every query still gets its own rows."""
+    rows = [(i, f"shared kind{i % 6} {i}", "about shared things", None, "active" if i % 7 else "merged") for i in range(300)]
+    pats = spark.createDataFrame(rows, "id long, name string, description string, recommendation string, status string")
+    asked = [(q, "", "shared kind3 kind4") for q in range(30)]
+    queries = spark.createDataFrame(asked, "query_id long, project string, query string")
+    terms = fulltext.query_keywords(queries)
+    counted = fulltext.counted_tokens(pats, fulltext.PATTERN_FIELDS, terms, ["status"])
+    assert fulltext.class_scores(counted, terms)[2].count() == 3  # kind3, kind4, and all others are alike
+    plain = fulltext.bm25_scores(pats, fulltext.PATTERN_FIELDS, terms, scoped=False, carried=("status",)).collect()
+    got = fulltext.search_patterns_fts(pats, queries).collect()
+    for q in (0, 29):
+        best = sorted((-round(r["score"], 9), r["id"]) for r in plain if r["query_id"] == q and r["status"] == "active")[:10]
+        mine = sorted((r["rank"], -round(r["score"], 9), r["id"]) for r in got if r["query_id"] == q)
+        assert [x[1:] for x in mine] == best and [x[0] for x in mine] == list(range(1, 11))
+    assert len(got) == 300
