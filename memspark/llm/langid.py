@@ -26,6 +26,8 @@ ROUNDS, SMOOTHING, FITTED_BYTES = 3, 0.1, 64
 UNKNOWN = 1e-7
 #: Where so few words of a batch go on, they are finished one after the other.
 FEW = 8
+#: Bytes of text that a task splits into words and scores at a time.
+SLICE = 2 << 20
 SLOTS = 1 << 20
 
 
@@ -310,16 +312,16 @@ def predict(model: Model, text: Column, with_background: bool = False) -> Column
     languages gives ``und`` and 0."""
     known_languages = len(model.languages)
 
-    @F.pandas_udf("lang string, score double, evidence double")
-    def predicted(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("lang string, score double, evidence double")
+    def predicted(texts: pa.Array) -> pa.Array:
         names, scores, evidence = [], [], []
         pieces = pieces_of(model.vocabulary)
         probabilities = model.probabilities
         if with_background:
             probabilities = np.column_stack([probabilities, np.full(len(pieces), 1 / len(pieces))])
-        column = pa.array(texts, pa.string())
-        for batch in common.slices([pa.RecordBatch.from_arrays([column], ["t"])], 0, 8 << 20):
-            data, offsets, word, n = distinct_words(batch.column(0))
+        for batch in common.slices([pa.RecordBatch.from_arrays([texts.cast(pa.string())], ["t"])], 0, SLICE):
+            column = batch.column(0)
+            data, offsets, word, n = distinct_words(column)
             if not model.languages or not len(word):
                 logs = np.zeros((len(n), known_languages + with_background or 1))
             else:
@@ -330,11 +332,12 @@ def predict(model: Model, text: Column, with_background: bool = False) -> Column
             best = logs.argmax(1)
             more = logs.max(1) - background
             score = 1 / np.exp(np.maximum(logs - logs.max(1, keepdims=True), -700)).sum(1)
-            for i, t in enumerate(batch.column(0).to_pylist()):
-                known = bool(model.languages) and n[i] > 0 and any(c.isalpha() for c in t)
+            for i, t in enumerate(column):
+                known = bool(model.languages) and n[i] > 0 and any(c.isalpha() for c in t.as_py())
                 names.append(model.languages[best[i]] if known else "und")
                 scores.append(float(score[i]) if known else 0.0)
                 evidence.append(float(more[i]) if known and with_background else None)
-        return pd.DataFrame({"lang": names, "score": scores, "evidence": pd.Series(evidence, dtype=float)})
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(evidence, pa.float64())],
+                                          ["lang", "score", "evidence"])
 
     return predicted(text)

@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -155,14 +154,13 @@ def fit(df: DataFrame, key: str, text: str, labels: DataFrame, label: str, learn
 
 def score(model: Model, text: Column) -> Column:
     """Probability-like score of a text, 0 to 1; null and wordless texts get the score of a text without any feature."""
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
         out = []
-        column = pa.array(texts, pa.string())
-        for batch in common.slices([pa.RecordBatch.from_arrays([column], ["t"])], 0, 4 << 20):
+        for batch in common.slices([pa.RecordBatch.from_arrays([texts.cast(pa.string())], ["t"])], 0, 2 << 20):
             row, at, count, n = feature_counts(batch.column(0), model.features)
             z = model.bias + np.bincount(row, _values(count, n[row]) * model.weights[at], len(n))
             out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+        return pa.array(np.concatenate(out) if out else np.zeros(0))
 
     return scored(text)

@@ -18,12 +18,13 @@ def _folded(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(folded bytes, word starts, word ends, words per text). A word is a run of ASCII letters and of bytes beyond ASCII."""
+def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(folded bytes of all words in a row, their lengths, words per text). A word is a run of ASCII letters and of bytes beyond
+    ASCII, so the bytes of all words are those inside one: no index of each byte is built."""
     data, offsets = text_bytes(texts)
     n = len(data)
     if not n:
-        return data, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
+        return data, np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
     data = _folded(data)
     inside = (data >= 0x80) | ((data >= 97) & (data <= 122))
     first = np.zeros(n + 1, bool)
@@ -31,18 +32,15 @@ def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     start, end = inside.copy(), inside.copy()
     start[1:] &= ~inside[:-1] | first[1:n]
     end[:-1] &= ~inside[1:] | first[1:n]
-    s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
-    return data, s, e, np.diff(np.searchsorted(s, offsets))
+    s = np.flatnonzero(start)
+    return data[inside], np.flatnonzero(end) + 1 - s, np.diff(np.searchsorted(s, offsets))
 
 
 def distinct_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes of the distinct words in a row, their offsets, distinct word of every word, words per text)."""
-    data, s, e, n = word_spans(texts)
-    lengths = e - s
+    packed, lengths, n = word_spans(texts)
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    at = np.repeat(s - offsets[:-1], lengths) + np.arange(offsets[-1])
-    packed = np.ascontiguousarray(data[at])
-    words = pa.Array.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
+    words = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
     coded = words.dictionary_encode()
     d = coded.dictionary
     d_offsets = np.frombuffer(d.buffers()[1], np.int64)[d.offset:d.offset + len(d) + 1] if len(d) else np.zeros(1, np.int64)

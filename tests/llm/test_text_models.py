@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -224,6 +225,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert max(r[0] for r in df.select(toxicity.score(nothing, F.col("text"))).collect()) < 0.01
 
 
+def test_words_take_no_index_of_every_byte():
+    text = " ".join(f"word{i % 997} É{'xyz'[i % 3] * 9}," for i in range(150_000))
+    wordbag.distinct_words(pa.array(["warm"]))
+    tracemalloc.start()
+    data, offsets, word, n = wordbag.distinct_words(pa.array([None, text, "ab\u00e9", "cd"]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15 * len(text.encode()), peak / len(text.encode())
+    words = [data[offsets[i]:offsets[i + 1]].tobytes().decode() for i in range(len(offsets) - 1)]
+    assert n.tolist() == [0, 300_000, 1, 1] and words[:2] == ["word", "éxxxxxxxxx"] and [words[i] for i in word[-2:]] == ["abé", "cd"]
+
+
 def test_nnpu_turns_against_negative_risk():
     r = np.random.default_rng(0)
     positive = r.random((200, 3)) * [1, 0.1, 0.1]
