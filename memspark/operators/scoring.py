@@ -82,6 +82,16 @@ def rescore_batch(obs: DataFrame, now_ms: int, cfg: ScoringConfig = ScoringConfi
         "id", "importance_score", F.lit(now_ms).cast("long").alias("score_updated_at_epoch"))
 
 
+def rescored(obs: DataFrame, now_ms: int, cfg: ScoringConfig = ScoringConfig(),
+             threshold_ms: int = vocab.RESCORE_AFTER_MS) -> DataFrame:
+    """The whole table after one pass over all rows that are due: ``apply_scores`` of ``rescore_batch``, row by row without a join."""
+    at = F.col("score_updated_at_epoch")
+    due = at.isNull() | (at < now_ms - threshold_ms)
+    return obs.withColumns({
+        "importance_score": F.coalesce(F.when(due, score_parts(now_ms, cfg)["final_score"]), "importance_score"),
+        "score_updated_at_epoch": F.when(due, F.lit(now_ms).cast("long")).otherwise(at)})
+
+
 def apply_scores(obs: DataFrame, scores: DataFrame) -> DataFrame:
     new = scores.select("id", F.col("importance_score").alias("_s"), F.col("score_updated_at_epoch").alias("_t"))
     return obs.join(new, "id", "left").withColumns({

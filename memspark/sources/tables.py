@@ -17,10 +17,10 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, root: str, name: str, mode: str = "append") -> None:
-    """Write with the table's columns; tables with a project are partitioned by it."""
+    """Write with the table's columns, texts well compressed; tables with a project are partitioned by it."""
     schema = schemas.TABLES[name]
     out = df.select(*[F.col(f.name).cast(f.dataType) for f in schema])
-    writer = out.write.mode(mode)
+    writer = out.write.mode(mode).option("compression", "zstd")
     if "project" in schema.names:
         writer = writer.partitionBy("project")
     writer.parquet(f"{root}/{name}")

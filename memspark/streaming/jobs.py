@@ -244,8 +244,6 @@ def latest_memory(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 def run_rescore(root: str, spark: SparkSession, now_ms: int, version: int) -> DataFrame:
     """One rescoring pass over a stored table, written as a new version; run it from an outside scheduler."""
-    from memspark.operators.scoring import apply_scores, rescore_batch
-    obs = tb.read_table(spark, root, "observations")
-    scored = apply_scores(obs, rescore_batch(obs, now_ms))
-    tb.write_table(scored, f"{root}/rescored-{version}", "observations", "overwrite")
+    from memspark.operators.scoring import rescored
+    tb.write_table(rescored(tb.read_table(spark, root, "observations"), now_ms), f"{root}/rescored-{version}", "observations", "overwrite")
     return tb.read_table(spark, f"{root}/rescored-{version}", "observations")

@@ -1,6 +1,7 @@
 """Steps that moved or held whole tables: what they shuffle, write and hand to Python, with equal results."""
 
 from memspark.catalog import streams
+from memspark.operators import scoring as sc
 from memspark.streaming import jobs
 
 DAY = 24 * 3600 * 1000
@@ -17,3 +18,13 @@ def test_a_stream_table_is_written_by_all_its_tasks(spark, tmp_path, monkeypatch
     assert len(list((tmp_path / "table").glob("part-*"))) == 9
     streams.finish(jobs.each_batch(stream, lambda df, i: sizes.append(df.count()), str(tmp_path / "cp")))
     assert sizes == [50, 40]
+
+
+def test_rescoring_in_place(spark, obs_of):
+    obs = obs_of([dict(id=1, score_updated_at_epoch=NOW - DAY, created_at_epoch=NOW - 9 * DAY, concepts=["security"]),
+                  dict(id=2, score_updated_at_epoch=NOW, importance_score=5.0), dict(id=3, type="bugfix", importance_score=None),
+                  dict(id=4, score_updated_at_epoch=NOW, importance_score=None)])
+    want = sc.apply_scores(obs, sc.rescore_batch(obs, NOW))
+    got = sc.rescored(obs, NOW)
+    assert sorted(got.collect()) == sorted(want.select(got.columns).collect()) and got.schema == obs.schema
+    assert "Join" not in optimized(got)
