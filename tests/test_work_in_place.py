@@ -1,5 +1,6 @@
 """Steps that moved or held whole tables: what they shuffle, write and hand to Python, with equal results."""
 
+from memspark import catalog
 from memspark.catalog import streams
 from memspark.operators import scoring as sc
 from memspark.streaming import jobs
@@ -28,3 +29,10 @@ def test_rescoring_in_place(spark, obs_of):
     got = sc.rescored(obs, NOW)
     assert sorted(got.collect()) == sorted(want.select(got.columns).collect()) and got.schema == obs.schema
     assert "Join" not in optimized(got)
+
+
+def test_neighbours_meet_without_joining_the_table_with_itself(spark):
+    got = catalog.all_queries()["jaccard"](spark, "/root/testdata/sf0.001")
+    ids = [r["id"] for r in got.select("id").collect()]
+    assert len(ids) == len(set(ids)) and {254, 255, 256, 511} <= set(ids)  # also across the blocks' edges
+    assert optimized(got).count("Join ") == 1  # of events and documents
