@@ -1,8 +1,11 @@
 """Steps that moved or held whole tables: what they shuffle, write and hand to Python, with equal results."""
 
+import pandas as pd
+import pytest
+
 from memspark import catalog
 from memspark.catalog import streams
-from memspark.operators import scoring as sc
+from memspark.operators import models, scoring as sc
 from memspark.streaming import jobs
 
 DAY = 24 * 3600 * 1000
@@ -36,3 +39,16 @@ def test_neighbours_meet_without_joining_the_table_with_itself(spark):
     ids = [r["id"] for r in got.select("id").collect()]
     assert len(ids) == len(set(ids)) and {254, 255, 256, 511} <= set(ids)  # also across the blocks' edges
     assert optimized(got).count("Join ") == 1  # of events and documents
+
+
+@pytest.mark.parametrize("texts", [["x" * 3_000_000] * 5 + [None, "", "y"]])
+def test_models_get_few_bytes_at_a_time(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").coalesce(1)
+
+    def held(rows: pd.Series) -> pd.Series:
+        return rows.where(rows.isna(), str(int(rows.fillna("").str.len().sum())))
+
+    got = {r["id"]: r["response"] for r in models.run_extractor(df, held).collect()}
+    assert len(got) == len(texts) and got[5] is None and max(int(x) for x in got.values() if x) <= 8_000_000
+    blank = {r["id"]: r["embedding"] for r in models.embed_docs(df, "text").select("id", "embedding").collect()}
+    assert len(blank) == len(texts) and not any(blank[5]) and not any(blank[6]) and any(blank[7])
