@@ -5,7 +5,7 @@ import pytest
 
 from memspark import catalog
 from memspark.catalog import streams
-from memspark.operators import models, scoring as sc
+from memspark.operators import models, patterns as pt, scoring as sc
 from memspark.streaming import jobs
 
 DAY = 24 * 3600 * 1000
@@ -16,6 +16,18 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_pairs_of_a_frequent_kind_are_made_last(spark, obs_of, monkeypatch):
+    monkeypatch.setattr(pt, "LIST_IDS", 3)
+    obs = obs_of([dict(id=i, concepts=["common"], title="") for i in range(1, 41)] + [dict(id=99, concepts=["rare"], title="")])
+    rows = [(i, "active", 1, 0.5, ["common"] if i else ["rare"]) for i in range(20)]
+    pats = spark.createDataFrame(rows, "id long, status string, frequency long, confidence double, signature array<string>")
+    got = pt.signature_join(obs, pats)
+    assert sorted((r["id"], r["pattern_id"], r["score"]) for r in got.collect()) == [
+        *[(i, p, 1.0) for i in range(1, 41) for p in range(1, 20)], (99, 0, 1.0)]
+    plan = optimized(got)
+    assert 0 <= plan.find("Generate explode(ids") < plan.index("Join")  # nothing is joined once the pairs are there
+
+
 def test_a_stream_table_is_written_by_all_its_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(streams, "scratch", lambda _: str(tmp_path / "table"))
     stream, sizes = streams.as_stream(spark.range(0, 90, 1, 9).toDF("x")), []
