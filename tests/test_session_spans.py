@@ -71,3 +71,86 @@ def test_out_of_order_and_late_rows(spark, tmp_path, keyed_store):
     got = run(spark, tmp_path, [first, second, late, [("b", 60_000, "event")]], "x")
     kept = first + second + late[1:] + [("b", 60_000, "event")]
     assert got == spans(kept, 60_000 - 10 * MINUTE)
+
+
+class _Held:
+    """State of one key in a dict, counting what is written and read."""
+
+    def __init__(self):
+        self.values, self.calls, self.timers = {}, 0, []
+
+    def getValueState(self, name, schema):
+        return _Value(self, name)
+
+    def getMapState(self, name, key, value):
+        return _Value(self, name)
+
+    def listTimers(self):
+        return list(self.timers)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class _Value:
+    def __init__(self, held, name):
+        self.held, self.name = held, name
+
+    def _at(self, key=()):
+        self.held.calls += 1
+        return (self.name, key)
+
+    def exists(self):
+        return self._at() in self.held.values
+
+    def containsKey(self, key):
+        return self._at(key) in self.held.values
+
+    def get(self):
+        return self.held.values[self._at()]
+
+    def getValue(self, key):
+        return self.held.values[self._at(key)]
+
+    def update(self, value):
+        self.held.values[self._at()] = value
+
+    def updateValue(self, key, value):
+        self.held.values[self._at(key)] = value
+
+    def clear(self):
+        self.held.values.pop(self._at(), None)
+
+    def removeKey(self, key):
+        self.held.values.pop(self._at(key))
+
+    def iterator(self):
+        self.held.calls += 1
+        return iter([(k[1], v) for k, v in self.held.values.items() if k[0] == self.name])
+
+
+def test_rows_of_a_busy_session_are_not_state_calls_of_their_own():
+    import pandas as pd
+
+    class At:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    held, spans_ = _Held(), sessions.SessionSpans(1800 * 1_000_000)
+    spans_.init(held)
+    n = 5000
+    for part in (0, 1):  # every second row arrives later
+        frame = pd.DataFrame({"at": [i * 1_000_000 for i in range(part, n, 2)], "is_summary": False, "times": 2})
+        assert list(spans_.handleInputRows(("s",), iter([frame]), At(0))) == []
+    assert held.timers == [1000]  # the row at 0 has been passed, the next one is a second later
+    half = list(spans_.handleExpiredTimer(("s",), At(4000 * 1000), None))
+    assert half == [] and held.timers == [4001 * 1000]
+    (end,) = spans_.handleExpiredTimer(("s",), At((n + 1800) * 1000), None)
+    assert end["events"].tolist() == [2 * n] and end["ended_by"].tolist() == ["timeout"]
+    assert held.calls < 100 and not held.values
