@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,13 +22,16 @@ MIN_IDF = 1e-6
 SMALL_KEYWORDS = 200_000
 AUTOMATON_CHARACTERS = 4_000_000  # of the keywords that one pass over the texts looks for, about 300 MB in a worker
 KEYWORD_CHARACTERS = 16_000_000   # of the keywords that one pass counts
+PAIRS_AT_ONCE = 200_000  # of a text and a keyword it holds, in a worker
+LIST_CELLS = 4_000_000     # lists times keywords whose k-th best ranks stand in a worker
 
 OBSERVATION_FIELDS = ["title", "subtitle", "narrative"]
 PATTERN_FIELDS = ["name", "description", "recommendation"]
 
 
 def search_text(fields) -> Column:
-    return F.lower(F.concat_ws("\n", *[F.col(f) for f in fields]))
+    """The searched fields as one text. Workers lower its letters, once for equal texts."""
+    return F.concat_ws("\n", *[F.col(f) for f in fields])
 
 
 def query_keywords(queries: DataFrame) -> DataFrame:
@@ -62,7 +65,7 @@ def counted_tokens(docs: DataFrame, fields, terms: DataFrame, kept: list[str]) -
             for batch in batches:
                 lengths, ends, names, counts = [], [0], [], []
                 for text in batch.column(batch.num_columns - 1).to_pylist():
-                    tokens = token.findall(text)
+                    tokens = token.findall(text.lower())
                     held = Counter(t for t in tokens if t in wanted)
                     lengths.append(len(tokens))
                     names.extend(held)
@@ -171,18 +174,108 @@ def search_patterns_fts(patterns: DataFrame, queries: DataFrame, limit: int = 10
 
 # substrings ------------------------------------------------------------------------------------------
 
-def keywords_within(body: Column, words: list[str]) -> Column:
-    """The distinct ones of ``words`` that occur anywhere in a text, found by one automaton in one pass over it."""
-    @F.pandas_udf("array<string>")
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+class _ListsSoFar:
+    """The rank of the k-th best row so far of every list (a project's or the global one) and keyword, within one task.
+
+    A rank is (importance, time); rows of equal rank all stay, since the id decides between them later. Beyond
+    LIST_CELLS lists and keywords it starts anew, which only lets more rows through.
+    """
+
+    def __init__(self, words: int, k: int):
+        self.words, self.k = words, k
+        self._forget()
+
+    def _forget(self) -> None:
+        self.owners: dict[str | None, int] = {}
+        self.least = np.full(self.words, -np.inf)
+        self.since = np.full(self.words, np.iinfo("int64").min)
+        self.held = [(np.zeros(0, "int64"), np.zeros(0), np.zeros(0, "int64"))]
+        self.settled = self.fresh = 0
+
+    def numbers(self, owners: pa.Array) -> np.ndarray | None:
+        """The numbers of the lists of these projects, 0 being the global list; none if they alone are too many."""
+        coded = owners.dictionary_encode(null_encoding="encode")
+        names = coded.dictionary.to_pylist()
+        if (len(self.owners) + len(names) + 1) * self.words > LIST_CELLS:
+            self._forget()
+            if (len(names) + 1) * self.words > LIST_CELLS:
+                return None
+        at = np.array([self.owners.setdefault(name, len(self.owners) + 1) for name in names], "int64")
+        grown = (len(self.owners) + 1) * self.words - len(self.least)
+        self.least = np.append(self.least, np.full(grown, -np.inf))
+        self.since = np.append(self.since, np.full(grown, np.iinfo("int64").min))
+        return at[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def _open(self, cell: np.ndarray, importance: np.ndarray, created: np.ndarray) -> np.ndarray:
+        least = self.least[cell]
+        return (importance > least) | ((importance == least) & (created >= self.since[cell]))
+
+    def keep(self, own: np.ndarray, shared: np.ndarray, word: np.ndarray, importance: np.ndarray, created: np.ndarray) -> np.ndarray:
+        """Which (row, keyword) may be among the k best of a list."""
+        cell = np.concatenate([own * self.words + word, word[shared]])
+        row = np.concatenate([np.arange(len(word)), np.flatnonzero(shared)])
+        open_ = self._open(cell, importance[row], created[row])
+        cell, row = cell[open_], row[open_]
+        self.held.append((cell, importance[row], created[row]))
+        self.fresh += len(cell)
+        if self.fresh > self.settled // 2:
+            self._cut()
+            open_ = self._open(cell, importance[row], created[row])
+            row = row[open_]
+        kept = np.zeros(len(word), bool)
+        kept[row] = True
+        return kept
+
+    def _cut(self) -> None:
+        cell, importance, created = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((-created, -importance, cell))
+        cell, importance, created = cell[order], importance[order], created[order]
+        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, "int64")
+        place = np.arange(len(cell)) - np.repeat(first, np.diff(np.append(first, len(cell))))
+        last = place == self.k - 1
+        self.least[cell[last]], self.since[cell[last]] = importance[last], created[last]
+        best = place < self.k
+        self.held = [(cell[best], importance[best], created[best])]
+        self.settled, self.fresh = int(best.sum()), 0
+
+
+def keywords_within(body: Column, words: list[str], owner: Column, shared: Column, importance: Column, created: Column, k: int) -> Column:
+    """The distinct ones of ``words`` that occur anywhere in a text, found by one automaton in one pass over it, without those
+    for which the task has met k better rows already in every list that the row stands in. Letters are lowered; equal texts of a
+    batch are searched once."""
+    @F.arrow_udf("array<string>")
+    def found(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         automaton = ahocorasick.Automaton()
-        for word in words:
-            automaton.add_word(word, word)
+        for n, word in enumerate(words):
+            automaton.add_word(word, n)
         automaton.make_automaton()
-        for texts in batches:
-            yield pd.Series([sorted({word for _, word in automaton.iter(text)}) for text in texts], dtype=object)
-
-    return found(body)
+        names, lists = pa.array(words, pa.string()), _ListsSoFar(len(words), k)
+        for texts, owners, global_, score, time in batches:
+            coded = texts.dictionary_encode()
+            hits = [np.fromiter(sorted({n for _, n in automaton.iter(text.lower())}), "int64") for text in coded.dictionary.to_pylist()]
+            sizes, flat = np.array([len(x) for x in hits], "int64"), np.concatenate([*hits, np.zeros(0, "int64")])
+            starts = np.cumsum(sizes) - sizes
+            text = coded.indices.to_numpy(zero_copy_only=False)
+            seen = global_.fill_null(False).to_numpy(zero_copy_only=False)
+            score = score.to_numpy(zero_copy_only=False)
+            score = np.where(np.isnan(score), np.inf, score)  # as in Spark's order; what ties stays
+            # a row without a time comes last; the least number itself has no negative
+            time = np.maximum(time.fill_null(np.iinfo("int64").min + 1).to_numpy(zero_copy_only=False), np.iinfo("int64").min + 1)
+            own, kept, kept_of = lists.numbers(owners), [np.zeros(0, "int64")], [np.zeros(0, "int64")]
+            best = np.lexsort((-time, -score))  # the best rows first, so that most of the others find the lists full
+            parts = np.cumsum(sizes[text[best]]) // PAIRS_AT_ONCE
+            for rows in np.split(best, np.flatnonzero(np.diff(parts)) + 1):
+                n = sizes[text[rows]]
+                row, before = np.repeat(rows, n), np.cumsum(n) - n
+                word = flat[np.arange(len(row)) - np.repeat(before - starts[text[rows]], n)]
+                stays = np.ones(len(word), bool) if own is None else lists.keep(own[row], seen[row], word, score[row], time[row])
+                kept.append(word[stays])
+                kept_of.append(row[stays])
+            kept, kept_of = np.concatenate(kept), np.concatenate(kept_of)
+            ends = np.append(0, np.cumsum(np.bincount(kept_of, minlength=len(text))))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(pa.array(kept[np.argsort(kept_of, kind="stable")])))
+
+    return found(body, owner, shared, importance.cast("double"), created.cast("long"))
 
 
 def search_like(obs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
@@ -191,15 +284,18 @@ def search_like(obs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFram
     One automaton over all keywords runs once over each text, in place; only the keywords that a text holds leave it.
     Keywords beyond what one automaton should hold are split by hash, with one pass over the texts per part. Rows are
     ranked by themselves alone, so each keyword keeps its ``limit`` best rows per project and its ``limit`` best global
-    rows, and a query merges the lists of its keywords.
+    rows, and a query merges the lists of its keywords. What a task has ``limit`` better rows for does not leave it.
     """
     terms = durable(query_keywords(queries))
-    order = [F.coalesce("importance_score", F.lit(1.0)).desc(), F.col("created_at_epoch").desc(), F.col("id").desc()]
+    score = F.coalesce("importance_score", F.lit(1.0))
+    order = [score.desc(), F.col("created_at_epoch").desc(), F.col("id").desc()]
     kept = ["id", "project", "scope", "importance_score", "created_at_epoch"]
     found = None
     for _, words in word_parts(terms, AUTOMATON_CHARACTERS):
         if words:
-            hits = obs.select(*kept, F.explode(keywords_within(search_text(OBSERVATION_FIELDS), words)).alias("term"))
+            held = keywords_within(search_text(OBSERVATION_FIELDS), words, F.col("project"), F.col("scope") == "global", score,
+                                   F.col("created_at_epoch"), limit)
+            hits = obs.select(*kept, F.explode(held).alias("term"))
             found = hits if found is None else found.unionByName(hits)
     if found is None:
         return terms.select("query_id").join(obs.select("id"), F.lit(False)).withColumn("rank", F.lit(0))

@@ -123,3 +123,32 @@ def test_pattern_search_scores_classes(spark):
         mine = sorted((r["rank"], -round(r["score"], 9), r["id"]) for r in got if r["query_id"] == q)
         assert [x[1:] for x in mine] == best and [x[0] for x in mine] == list(range(1, 11))
     assert len(got) == 300
+
+
+def test_a_keyword_leaves_a_task_only_for_rows_that_may_rank(spark, obs_of, monkeypatch):
+    """A thousand rows hold the word; a task lets go of few of them, whatever the order, and of no row that ties with the last."""
+    rnd = random.Random(7)
+    rows = [dict(id=i, title="common", narrative=f"text {i % 9}", project=rnd.choice(["p", "q", None]), scope=["project", "global", None][i % 3],
+                 importance_score=rnd.choice([None, 0.5, 2.0, float("nan")] if i % 2 else [1.0]), created_at_epoch=rnd.choice([None, 1, 2, i])) for i in range(1000)]
+    rnd.shuffle(rows)
+    monkeypatch.setattr(fulltext, "PAIRS_AT_ONCE", 50)
+    obs = obs_of(rows).coalesce(1)
+    q = spark.createDataFrame([(1, "p", "common text"), (2, "zz", "common")], "query_id long, project string, query string")
+
+    def rank(r):
+        s = 1.0 if r["importance_score"] is None else r["importance_score"]
+        return (s != s, s if s == s else 0.0, r["created_at_epoch"] is not None, r["created_at_epoch"] or 0, r["id"])
+
+    for cells in (4_000_000, 8, 3):
+        monkeypatch.setattr(fulltext, "LIST_CELLS", cells)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+        got = {(r.query_id, r["rank"]): r.id for r in fulltext.search_like(obs, q).collect()}
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        for query, project in ((1, "p"), (2, "zz")):
+            seen = sorted((r for r in rows if r["project"] == project or r["scope"] == "global"), key=rank, reverse=True)[:10]
+            assert [got[(query, k + 1)] for k in range(10)] == [r["id"] for r in seen]
+    monkeypatch.setattr(fulltext, "LIST_CELLS", 4_000_000)
+    from pyspark.sql import functions as F
+    score, n = F.coalesce("importance_score", F.lit(1.0)), F.col("created_at_epoch")
+    held = fulltext.keywords_within(F.col("title"), ["common"], F.col("project"), F.col("scope") == "global", score, n, 10)
+    assert 30 <= obs.filter(F.size(held) > 0).count() < 400
