@@ -66,3 +66,27 @@ def test_words_of_texts_with_other_letters():
         for w in re.findall("[a-z0-9_]+", text.lower()):
             want[int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") % 64] += 1
         assert np.array_equal(models.HASHED.embed(pd.Series([text]))[0], want / np.linalg.norm(want))
+
+
+def test_a_vector_is_shuffled_once_per_large_block_of_queries(spark):
+    """600,000 queries ask 600,000 vectors in blocks that a worker can hold; with blocks of 512 queries 700 million vectors moved."""
+    copies = 600_000 // vs.QUERY_BLOCK
+    assert copies * 600_000 < 30_000_000 and vs.VECTOR_BLOCK <= 65_536
+
+
+@pytest.mark.parametrize("cells", [40, 2_000_000])
+def test_best_pairs_in_single_precision_are_verified(cells, monkeypatch):
+    """Similarities that differ less than single precision can tell, ties, vectors of length zero, and vectors to be skipped."""
+    monkeypatch.setattr(vs, "CELLS_AT_ONCE", cells)
+    monkeypatch.setattr(vs, "PAIRS_AT_ONCE", 7)
+    r = np.random.default_rng(5)
+    base = r.normal(size=6)
+    v = np.array([base + r.normal(size=6) * (10.0 ** -r.integers(1, 7)) for _ in range(300)] + [base] * 9 + [np.zeros(6)] * 3)
+    q = np.array([*r.normal(size=(6, 6)), base, -base, np.zeros(6)])
+    v, q = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (v, q))
+    v_skip, q_skip = r.integers(-1, 3, len(v)), np.array([-2, 0, 1, 2])[np.arange(len(q)) % 4]
+    i, j, raw = vs._tops(q, v, q_skip, v_skip, 5)
+    for n in range(len(q)):
+        sim = 0.5 + (v @ q[n]) / 2
+        want = sorted((x for x in range(len(v)) if v_skip[x] < 0 or v_skip[x] != q_skip[n]), key=lambda x: (-round(sim[x], 9), x))[:5]
+        assert j[i == n].tolist() == want and np.allclose(raw[i == n], sim[want], atol=1e-12)
