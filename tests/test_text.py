@@ -133,3 +133,15 @@ def test_summary_filters(spark):
     for c in ("investigated", "completed", "next_steps", "notes"):
         s = s.withColumn(c, F.lit(None).cast("string"))
     assert [r.request for r in fl.summary_self_ref(s).collect()] == ["auth"]
+
+
+def test_phrases_are_found_by_an_automaton_and_only_where_the_concepts_leave_the_type_open(spark):
+    texts = ["NuLL x", "a\nrace CONDITION", "off-by-one", "offxby-one", "deadlocK", "nıl", "", None, "nothing", "Pänic", "über PANIC"]
+    df = spark.createDataFrame([(t, ["architecture"] if i % 2 else None) for i, t in enumerate(texts)], "t string, c array<string>")
+    rows = df.select("t", "c", tx.holds_any(F.col("t"), vocab.BUG_KEYWORDS).alias("a"),
+                     tx.contains_any(F.coalesce("t", F.lit("")), vocab.BUG_KEYWORDS, ignore_case=True).alias("b"),
+                     tx.pattern_type(F.col("c"), F.col("t"), F.lit(None).cast("string")).alias("type")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and sum(r.a for r in rows) == 4
+    assert [r.type for r in rows] == [r.c[0] if r.c else "bug" if r.b else "refactor" for r in rows]
+    plan = df.select(tx.pattern_type(F.col("c"), F.col("t"), F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "RLIKE" not in plan
