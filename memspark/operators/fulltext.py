@@ -9,9 +9,11 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from memspark.functions.text import keywords
 from memspark.operators.ordering import top_per_group
@@ -22,6 +24,7 @@ MIN_IDF = 1e-6
 SMALL_KEYWORDS = 200_000
 AUTOMATON_CHARACTERS = 4_000_000  # of the keywords that one pass over the texts looks for, about 300 MB in a worker
 KEYWORD_CHARACTERS = 16_000_000   # of the keywords that one pass counts
+SCORES_AT_ONCE = 1_000_000  # of a row, a query and a word they share, in a worker
 PAIRS_AT_ONCE = 200_000  # of a text and a keyword it holds, in a worker
 LIST_CELLS = 4_000_000     # lists times keywords whose k-th best ranks stand in a worker
 
@@ -97,13 +100,121 @@ def _impact() -> Column:
     return F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
 
 
+def _counted_classes(docs: DataFrame, fields, words: list[str], kept: list[str]) -> DataFrame:
+    """(docs, len, codes, tfs), stored: one row per text that occurs in a batch, with the rows that have it, its number of
+    tokens, and the numbers and counts of those that some query asks for. Nothing is shuffled."""
+    rows = docs.select("id", *kept, search_text(fields).alias("body"))
+    ints = T.ArrayType(T.IntegerType())
+    schema = T.StructType([T.StructField("docs", T.ArrayType(T.StructType(rows.drop("body").schema.fields))), T.StructField("len", T.IntegerType()),
+                           T.StructField("codes", ints), T.StructField("tfs", ints)])
+    names = rows.columns[:-1]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, token = {word: n for n, word in enumerate(words)}, re.compile("[a-z0-9_]+")
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).dictionary_encode()
+            at = texts.indices.to_numpy(zero_copy_only=False)
+            lengths, ends, codes, tfs = [], [0], [], []
+            for text in texts.dictionary.to_pylist():
+                tokens = token.findall(text.lower())
+                held = Counter(code[t] for t in tokens if t in code)
+                lengths.append(len(tokens))
+                codes.extend(held)
+                tfs.extend(held.values())
+                ends.append(len(codes))
+            members = pa.StructArray.from_arrays(batch.columns[:-1], names).take(pa.array(np.argsort(at, kind="stable")))
+            of = np.append(0, np.cumsum(np.bincount(at, minlength=len(lengths))))
+            ends = pa.array(ends, pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                pa.ListArray.from_arrays(pa.array(of, pa.int32()), members), pa.array(lengths, pa.int32()),
+                pa.ListArray.from_arrays(ends, pa.array(codes, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(tfs, pa.int32()))],
+                ["docs", "len", "codes", "tfs"])
+
+    return durable(rows.mapInArrow(count, schema))
+
+
+def _scored_in_place(classes: DataFrame, asked: pa.Table, words: list[str], scoped: bool, carried: tuple[str, ...]) -> DataFrame:
+    """``bm25_scores`` from the stored texts, scored where they are. A text is scored once for all queries; its rows take the
+    scores of the queries that see them."""
+    corpus = classes.agg(F.sum(F.size("docs")).alias("n"), F.sum(F.col("len").cast("long") * F.size("docs")).alias("tokens")).first()
+    n, avg = float(corpus["n"] or 0), (corpus["tokens"] or 0) / (corpus["n"] or 1)
+    counts = classes.select(F.explode("codes").alias("code"), F.size("docs").alias("rows")).groupBy("code").agg(F.sum("rows").alias("df")).toArrow()
+    df = np.zeros(len(words))
+    df[counts["code"].to_numpy()] = counts["df"].to_numpy()
+    idf = np.log((n - df + 0.5) / (df + 0.5))
+    idf = np.where(idf > 0, idf, MIN_IDF)
+    # the queries of each word: ask[first[word]:first[word] + times[word]]
+    ids = pc.unique(asked["query_id"])
+    word, query = (pc.index_in(asked[c], value_set=v).to_numpy() for c, v in (("term", pa.array(words, pa.string())), ("query_id", ids)))
+    order = np.argsort(word, kind="stable")
+    ask, times = query[order], np.bincount(word, minlength=len(words))
+    first = np.cumsum(times) - times
+    # a query's rows carry its project
+    one = np.zeros(len(ids), "int64")
+    one[query] = np.arange(len(query))
+    owner = asked["project"].take(pa.array(one)).combine_chunks()
+    projects = pc.unique(owner).drop_null()
+    owner = np.nan_to_num(pc.index_in(owner.cast(pa.string()), value_set=projects).to_numpy(zero_copy_only=False).astype("float64"), nan=-2).astype("int64")
+    fields = {f.name: f for f in classes.schema["docs"].dataType.elementType.fields}
+    out = T.StructType([T.StructField("query_id", from_arrow_type(asked["query_id"].type)), fields["id"], T.StructField("score", T.DoubleType()),
+                        *[fields[c] for c in carried]])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = batch.column("docs")
+            codes, tf = (batch.column(c).flatten().to_numpy() for c in ("codes", "tfs"))
+            lengths = batch.column("len").to_numpy()
+            held, members = (pc.list_value_length(batch.column(c)).to_numpy() for c in ("codes", "docs"))
+            text = np.repeat(np.arange(len(lengths)), held)
+            part = idf[codes] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[text] / avg))
+            meets = np.bincount(text, times[codes], minlength=len(lengths)) * np.maximum(members, 1)
+            begin = np.cumsum(members) - members
+            rows = docs.flatten()
+            names = {f.name: k for k, f in enumerate(rows.type)}
+            if scoped:
+                home = np.nan_to_num(pc.index_in(rows.field(names["project"]), value_set=projects).to_numpy(zero_copy_only=False).astype("float64"),
+                                     nan=-1).astype("int64")
+                shared = pc.fill_null(pc.equal(rows.field(names["scope"]), "global"), False).to_numpy(zero_copy_only=False)
+            starts = np.cumsum(held) - held
+            for some in np.split(np.arange(len(lengths)), np.flatnonzero(np.diff(np.cumsum(meets) // SCORES_AT_ONCE)) + 1):
+                if not len(some):
+                    continue
+                e = np.arange(starts[some[0]], starts[some[-1]] + held[some[-1]])
+                c = codes[e]
+                m = times[c]
+                cell = np.repeat((text[e] - some[0]) * len(ids), m) + ask[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m - first[c], m)]
+                cells, at = np.unique(cell, return_inverse=True)
+                scores = np.bincount(at, np.repeat(part[e], m))
+                of, q = np.divmod(cells, len(ids))
+                of += some[0]
+                k = members[of]
+                pair = np.repeat(np.arange(len(cells)), k)
+                row = np.arange(len(pair)) - np.repeat(np.cumsum(k) - k - begin[of], k)
+                if scoped:
+                    sees = shared[row] | (home[row] == owner[q[pair]])
+                    pair, row = pair[sees], row[sees]
+                taken = pa.array(row)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q[pair])), rows.field(names["id"]).take(taken), pa.array(scores[pair], pa.float64()),
+                                                  *[rows.field(names[f]).take(taken) for f in carried]], out.names)
+
+    return classes.mapInArrow(score, out)
+
+
 def bm25_scores(docs: DataFrame, fields, terms: DataFrame, scoped: bool = True, carried: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, id, score, carried columns) of documents that contain any of a query's terms.
 
-    With ``scoped``, a query meets documents of its project through a (term, project) join and global documents of other
-    projects through a second join. What a ranking needs beside the score is carried, so documents are read once.
+    Up to SMALL_KEYWORDS keywords go to the documents, which are scored in place; the scores are not shuffled. More of them
+    meet the counted tokens in joins: with ``scoped``, a query meets documents of its project through a (term, project) join
+    and global documents of other projects through a second join. What a ranking needs beside the score is carried, so
+    documents are read once.
     """
     kept = [*(["project", "scope"] if scoped else []), *carried]
+    asked = terms.select("query_id", "project", "term").distinct().limit(SMALL_KEYWORDS + 1).toArrow()
+    if len(asked) <= SMALL_KEYWORDS:
+        words = sorted(pc.unique(asked["term"]).to_pylist())
+        askers = len(asked.select(["query_id", "project"]).group_by(["query_id", "project"]).aggregate([]))
+        if sum(map(len, words)) <= KEYWORD_CHARACTERS and askers == len(pc.unique(asked["query_id"])):  # one project per query
+            return _scored_in_place(_counted_classes(docs, fields, words, kept), asked, words, scoped, carried)
     counted = counted_tokens(docs, fields, terms, kept)
     q = broadcast_if_small(terms.join(term_weights(counted), "term"), SMALL_KEYWORDS)
     tf = counted.select("id", *kept, "len", F.inline("terms"))
